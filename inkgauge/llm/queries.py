@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from inkgauge.llm import mixing
+from inkgauge.llm import line_dedup, mixing
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup.SQL,
+}
