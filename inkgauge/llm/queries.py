@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from inkgauge.llm import line_dedup, mixing
+from inkgauge.llm import line_dedup, mixing, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
+    "op4_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.SQL,
 }
