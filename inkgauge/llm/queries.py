@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkgauge.llm import line_dedup, mixing, toxicity
+from inkgauge.llm import line_dedup, mixing, packing, toxicity
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_mix_sources": mixing.query,
     "op4_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
