@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from inkgauge.llm import line_dedup, media, mixing, packing, toxicity
+from inkgauge.llm import ann, line_dedup, media, mixing, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_mix_sources": mixing.query,
     "op4_toxicity": toxicity.query,
     "op6_media_webp": media.query,
+    "op7_nearest_vectors": ann.query,
     "op10_line_dedup": line_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_toxicity": toxicity.query,
     "op6_media_webp": media.query,
+    "op7_nearest_vectors": ann.query,
     "op10_line_dedup": line_dedup.SQL,
 }
