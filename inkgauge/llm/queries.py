@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkgauge.llm import ann, line_dedup, media, mixing, packing, toxicity
+from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_mix_sources": mixing.query,
+    "op3_ngram_jaccard": jaccard.query,
     "op4_toxicity": toxicity.query,
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": jaccard.query,
     "op4_toxicity": toxicity.query,
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
