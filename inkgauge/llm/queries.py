@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, toxicity
+from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, passages, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
+    "op8_repeated_passages": passages.query,
     "op10_line_dedup": line_dedup.query,
 }
 
@@ -19,5 +20,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_toxicity": toxicity.query,
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
+    "op8_repeated_passages": passages.query,
     "op10_line_dedup": line_dedup.SQL,
 }

@@ -100,3 +100,23 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
                 yield np.unique(all_windows[a : b - k + 1])
             else:
                 yield windows(c.hashes[a:b], b - a, 100 + b - a) if b > a else c.hashes[:0]
+
+
+def long_windows(hashes: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
+    """As windows(), by prefix sums: the cost doesn't depend on k."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, inverse = powers(len(hashes) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
+    return mixed((total[k:] - total[:-k]) * inverse[:n], seed)
+
+
+def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of each k values in a row, by doubling."""
+    if len(x) < k:
+        return x[:0]
+    span = 1
+    while 2 * span <= k:
+        x, span = np.minimum(x[:-span], x[span:]), 2 * span
+    return x if span == k else np.minimum(x[: len(x) - (k - span)], x[k - span :])
