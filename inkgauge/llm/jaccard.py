@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm import bloom
-from inkgauge.llm.common import stage, table
+from inkgauge.llm.common import fresh, stage, table
 from inkgauge.llm.components import components
 from inkgauge.llm.shingles import mixed, shingle_sets
 
@@ -259,14 +259,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component; a null id is null in its row but its text links others. Repeated rows and ids are
     rows of their own. An empty table gives no rows; other columns are ignored.
     """
-    run = Join(docs, id_col, text_col, words, num, den)
+    found = with_components(Join(docs, id_col, text_col, words, num, den))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def with_components(run: Join) -> DataFrame:
+    """(id, row_key, cls, n, root, component_id) for each row; no component without shingles."""
     roots = run.components().withColumnRenamed("node", "cls")
     named = run.classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "root").select("cls", "component_id")
-    return run.rows.join(by_class, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return run.rows.join(named.join(least, "root").select("cls", "root", "component_id"), "cls", "left")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each group of near duplicates, that with the least id; same columns.
+
+    Rows without words are in no group and all stay. Only rows that go, or that are repeated whole, are
+    met by key; a Bloom filter lets all others pass without a shuffle.
+    """
+    found = stage(with_components(Join(docs, id_col, text_col, words, num, den)).where("cls is not null").select("id", "row_key", "root"), "groups")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("kept")).select("root", F.col("kept.row_key").alias("kept"))
+    by_key = found.join(kept, "root").groupBy("row_key").agg(F.min((F.col("row_key") != F.col("kept")).cast("int")).alias("gone"), F.count("*").alias("times"))
+    asked = stage(by_key.where("gone = 1 or times > 1"), "asked")
+    may = bloom.build(asked.select("row_key"))
+    (key,) = fresh(docs, "_row_key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    gone, twice = (asked.where(w).select(F.col("row_key").alias(key)) for w in ("gone = 1", "gone = 0"))
+    some = keyed.where(bloom.may_contain(may, F.col(key))).join(gone, key, "left_anti")
+    once = some.join(twice, key, "left_anti").unionByName(some.join(twice, key, "left_semi").dropDuplicates([key]))
+    return keyed.where(~bloom.may_contain(may, F.col(key))).unionByName(once).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -231,16 +231,15 @@ def resample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """docs with each row repeated as often as mix() says; same columns. Rows with no copies go."""
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     i, s, h, n, k = fresh(docs, "_mix_id", "_mix_source", "_mix_hash", "_mix_copies", "_mix_rows")
-    plan = plan.groupBy(F.col(id_col).alias(i), F.col(source_col).alias(s), F.col("text_hash").alias(h)).agg(F.sum("copies").alias(n), F.count("*").alias(k))
+    plan = stage(plan, "plan").groupBy(F.col(id_col).alias(i), F.col(source_col).alias(s), F.col("text_hash").alias(h)).agg(F.sum("copies").alias(n), F.count("*").alias(k))
     keyed = docs.withColumn(h + "d", F.xxhash64(text_col))
     on = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.col(h + "d") == F.col(h))
     joined = keyed.join(plan, on)
-    nth = F.row_number().over(W.partitionBy(i, s, h).orderBy(F.lit(1)))
-    one = joined.where(F.col(k) == 1).withColumn("_nth", F.lit(1))
-    many = joined.where(F.col(k) > 1).withColumn("_nth", nth)
-    copies = F.floor(F.col(n) / F.col(k)) + (F.col("_nth") <= F.col(n) % F.col(k)).cast("long")
-    both = one.unionByName(many).withColumn(n, copies).where(F.col(n) > 0)
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*docs.columns)
+    if plan.where(F.col(k) > 1).limit(1).count():  # rows alike in id, source and text share their copies
+        nth = F.row_number().over(W.partitionBy(i, s, h).orderBy(F.lit(1)))
+        joined = joined.withColumn(n, F.floor(F.col(n) / F.col(k)) + (nth <= F.col(n) % F.col(k)).cast("long"))
+    some = joined.where(F.col(n) > 0)
+    return some.withColumn(k, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

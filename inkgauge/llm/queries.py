@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, passages, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": packing.query,
     "op2_mix_sources": mixing.query,
     "op3_ngram_jaccard": jaccard.query,
