@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, passages, toxicity
+from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, passages, quality, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
     "op8_repeated_passages": passages.query,
+    "op9_site_quality": quality.query,
     "op10_line_dedup": line_dedup.query,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
     "op8_repeated_passages": passages.query,
+    "op9_site_quality": quality.query,
     "op10_line_dedup": line_dedup.SQL,
 }
