@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from inkgauge.llm import ann, jaccard, line_dedup, media, mixing, packing, passages, quality, toxicity
+from inkgauge.llm import ann, jaccard, licences, line_dedup, media, mixing, packing, passages, quality, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_mix_sources": mixing.query,
     "op3_ngram_jaccard": jaccard.query,
     "op4_toxicity": toxicity.query,
+    "op5_licence_scan": licences.query,
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
     "op8_repeated_passages": passages.query,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": jaccard.query,
     "op4_toxicity": toxicity.query,
+    "op5_licence_scan": licences.query,
     "op6_media_webp": media.query,
     "op7_nearest_vectors": ann.query,
     "op8_repeated_passages": passages.query,
