@@ -42,7 +42,7 @@ def coded(a: Column, b: Column) -> list[Column]:
     """
     # UTF-16BE units: BMP private use first, surrogate pairs beyond.
     units = lambda k: F.when(k < 6000, F.hex((57344 + k).cast("long"))).otherwise(F.concat(F.hex((55296 + F.floor((k - 6000) / 1024)).cast("long")), F.hex((56320 + (k - 6000) % 1024).cast("long"))))
-    names = lambda known: F.map_from_arrays(known, F.transform(known, lambda t, i: F.decode(F.unhex(units(i)), F.lit("UTF-16BE"))))
+    names = lambda known: F.map_from_arrays(known, F.transform(known, lambda t, i: F.decode(F.unhex(units(i)), "UTF-16BE")))
     named = let(F.array_distinct(F.concat(a, b)), names)
 
     def spelled(x: Column) -> Column:
@@ -101,15 +101,20 @@ def line_accuracy(truth: Column, hyp: Column) -> Column:
     return let(full_lines(truth), lambda a: let(full_lines(hyp), lambda b: share(a, b)))
 
 
+def runs(x: Column) -> Column:
+    """(v, n) of each distinct value of an array, by value: runs of the sorted array."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda e: (e["i"] == 0) | (F.get(s, e["i"] - 1) != e["v"]))
+        return let(starts, lambda st: F.transform(st, lambda e, j: F.struct(e["v"].alias("v"), (F.coalesce(F.get(st, j + 1)["i"], F.size(s)) - e["i"]).alias("n"))))
+
+    return let(F.array_sort(x), of)
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection: sorted arrays paired by value and occurrence."""
-    runs = lambda x: F.aggregate(
-        x, F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
-        lambda acc, v: let(F.when(acc["v"].eqNullSafe(v), acc["n"] + 1).otherwise(0), lambda n: F.struct(v.alias("v"), n.alias("n"), F.array_append(acc["out"], F.concat_ws("\x01", v, n.cast("string"))).alias("out"))),
-        lambda acc: acc["out"],
-    )
-    counted = lambda x: runs(F.array_sort(x))
-    return F.size(F.array_intersect(counted(a), counted(b)))
+    """Size of the multiset intersection: both arrays' runs sorted together, equal neighbours paired."""
+    paired = lambda z: F.transform(z, lambda e, j: F.when(F.get(z, j + 1)["v"] == e["v"], F.least(e["n"], F.get(z, j + 1)["n"])).otherwise(0))
+    return let(F.array_sort(F.concat(runs(a), runs(b))), lambda z: F.aggregate(paired(z), F.lit(0), lambda total, e: total + F.coalesce(e, F.lit(0))))
 
 
 def precision_recall(hit: Column, truth: Column, hyp: Column) -> list[Column]:
