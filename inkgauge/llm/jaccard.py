@@ -94,7 +94,7 @@ def heavy_tokens(counts: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.n
     """(tokens, frequencies), sorted by token, of at most `most` tokens: all from some power of two of the frequency on."""
     total = stage(counts.groupBy("token").agg(F.sum("n").alias("n")), "frequencies")
     by = {r["p"]: r["c"] for r in total.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()}
-    least, room = 63, most
+    least, room = 62, most
     for p in sorted(by, reverse=True):
         if by[p] > room:
             break
