@@ -15,7 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 _made: dict[str, str] = {}
 
 
+#: Rows of texts that go to a Python worker at once, unless the session sets its own number.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: Spark's 10,000 in an Arrow batch would fill a worker's memory."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +49,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/inkgauge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
