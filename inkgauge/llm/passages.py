@@ -37,10 +37,12 @@ from inkgauge.llm.shingles import Chunk, chunks, hashed, long_windows, sliding_m
 WINDOW = 50
 ANCHOR = 10
 #: Words of phrases in one automaton, and words of documents streamed through it by one task, about.
-PHRASE_WORDS = 200_000
-STREAM_WORDS = 1_500_000
+PHRASE_WORDS = 100_000
+STREAM_WORDS = 300_000
 BATCH = 1 << 18
 ANCHOR_BITS = 26
+#: log2 of the edges that a node of an automaton has at most.
+SYMBOL_BITS = 5
 
 
 def anchors(c: Chunk, size: int) -> np.ndarray:
@@ -133,50 +135,72 @@ class Dictionary:
     """The automaton of some phrases' tiles, over numbers of the words in them."""
 
     def __init__(self, owners: list[int], phrases: list[str], size: int):
-        self.size, self.owners = size, owners
+        self.size = size
         c = hashed(0, [p.encode() for p in phrases])
         self.known, number = np.unique(c.hashes, return_inverse=True)
-        self.numbers, self.cut = number.astype(np.int64) + 1, c.cut
+        self.numbers, self.cut = number.astype(np.int32) + 1, c.cut
+        self.raw, self.begin = self.numbers.tobytes(), self.cut.tolist()
         tile = max(1, size // 2)
         self.tile = tile
-        self.places: list[list[tuple[int, int]]] = []
-        at: dict[tuple, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.places: list[list[tuple[int, int, int, int]]] = []
+        at: dict[str, int] = {}
+        self.symbols = max(1, -(-len(self.known).bit_length() // SYMBOL_BITS))
+        text = self.spelled(self.numbers)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in range(len(phrases)):
-            own = self.numbers[self.cut[p] : self.cut[p + 1]].tolist()
-            for o in range(0, len(own) - tile + 1, tile):
-                key = tuple(own[o : o + tile])
+            first, length = int(self.cut[p]), int(self.cut[p + 1] - self.cut[p])
+            for o in range(0, length - tile + 1, tile):
+                key = text[(first + o) * self.symbols : (first + o + tile) * self.symbols]
                 if key not in at:
                     at[key] = len(self.places)
                     self.places.append([])
                     self.automaton.add_word(key, at[key])
-                self.places[at[key]].append((p, o))
+                self.places[at[key]].append((p, o, length, owners[p]))
+        for found in self.places:
+            found.sort(key=lambda x: -x[2])
         self.automaton.make_automaton()
 
+    def spelled(self, number: np.ndarray) -> str:
+        """Word numbers as characters, as many for each, those at each place from an alphabet of their own.
+
+        The automaton looks through a node's edges one by one: few edges a node keep that short, and
+        separate alphabets keep matches at word boundaries.
+        """
+        places = range(self.symbols)
+        parts = [(number >> SYMBOL_BITS * j & (1 << SYMBOL_BITS) - 1) + (256 + (j << SYMBOL_BITS)) for j in places]
+        return np.stack(parts, 1).astype("<u4").tobytes().decode("utf-32-le")
+
     def spans(self, doc: int, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """[start, end) of the occurrences of at least a window of phrases that a smaller id owns."""
+        """[start, end) of the occurrences of at least a window of phrases that a smaller id owns.
+
+        A phrase that couldn't reach a word not covered yet is passed over; places are longest
+        phrase first, so that in near copies few are compared. Comparisons are of bytes where the
+        whole reach is equal, else of numbers.
+        """
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        number = np.where(self.known[at] == hashes, at + 1, 0)
-        reached: dict[tuple[int, int], int] = {}
-        out = []
-        for end, key in self.automaton.iter(tuple(number.tolist())):
-            start = end - self.tile + 1
-            for p, o in self.places[key]:
-                if self.owners[p] >= doc:
+        number = np.where(self.known[at] == hashes, at + 1, 0).astype(np.int32)
+        n, raw, covered = len(number), number.tobytes(), bytearray(len(number))
+        words, begin = self.raw, self.begin
+        out, compared = [], {}  # how far each phrase was compared, by how it lies
+        for end, key in self.automaton.iter(self.spelled(number)):
+            start = (end + 1) // self.symbols - self.tile
+            for p, o, length, owner in self.places[key]:
+                if owner >= doc:
+                    continue
+                low, high = max(0, start - o), min(n, start - o + length)
+                if high - low < self.size or not covered.count(0, low, high):
                     continue
-                line = (p, start - o)
-                if reached.get(line, -1) >= start + self.tile:
+                if compared.get((p, start - o), 0) >= start + self.tile:
                     continue
-                phrase = self.numbers[self.cut[p] : self.cut[p + 1]]
-                back = min(start, o)
-                same = number[start - back : start] == phrase[o - back : o]
-                back = int(np.argmin(same[::-1])) if back and not same.all() else back
-                ahead = min(len(number) - start, len(phrase) - o)
-                same = number[start : start + ahead] == phrase[o : o + ahead]
-                ahead = ahead if same.all() else int(np.argmin(same))
-                reached[line] = start + ahead
-                if back + ahead >= self.size:
-                    out.append((start - back, start + ahead))
+                base = begin[p] + o - start
+                if raw[4 * low : 4 * high] != words[4 * (base + low) : 4 * (base + high)]:
+                    differ = np.flatnonzero(number[low:high] != self.numbers[base + low : base + high])
+                    k = int(differ.searchsorted(start - low))
+                    low, high = low + (int(differ[k - 1]) + 1 if k else 0), low + int(differ[k]) if k < len(differ) else high
+                compared[p, start - o] = high
+                if high - low >= self.size:
+                    out.append((low, high))
+                    covered[low:high] = b"\1" * (high - low)
         return out
 
 
