@@ -5,7 +5,8 @@ order of shingles two sets that reach the threshold share one among their first
 n - ceil(t n) + 1; this holds for each order, so a candidate must share prefix tokens under
 all of them. The first order, rarest first, generates candidates through posting lists with the
 length and position bound; the other two orders, hash permutations, filter the pairs before
-sets are compared.
+sets are compared. They filter one after the other and by the upper half of each hash, which may
+only let more pairs through, so that a pair carries few bytes before it is known to be near.
 
 Only components are asked for, so a posting list isn't expanded into all pairs. In a first round
 each list links its members to one leader, the member whose prefix has the token earliest (the
@@ -34,7 +35,7 @@ from inkgauge.llm.shingles import mixed, shingle_sets
 #: Tokens whose frequencies are broadcast (12 bytes each).
 HEAVY = 1 << 19
 #: Tokens that a task counts together.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 #: Signatures that a task remembers so as to work on equal sets once.
 SEEN = 1 << 20
 #: Prefix tokens in an output batch.
@@ -167,12 +168,12 @@ def _sets(shared, k: int, num: int, den: int):
             rows, size = [], 0
 
             def sent(rows):
-                return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.list_(pa.int64())] * 3))], names=["cls", "tokens", "second", "third"])
+                return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2))], names=["cls", "tokens", "second", "third"])
 
             for tokens in shingle_sets(batch.column("text").to_pylist(), k):
                 if len(tokens):
                     p = prefix_size(len(tokens), num, den)
-                    rows.append((signature(tokens), tokens.view(np.int64), *(shared.value.prefix(tokens, o, p).view(np.int64) for o in (1, 2))))
+                    rows.append((signature(tokens), tokens.view(np.int64), *((shared.value.prefix(tokens, o, p) >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in (1, 2))))
                     size += len(tokens)
                     if size >= BATCH:
                         yield sent(rows)
@@ -217,15 +218,16 @@ class Join:
         nodes = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
         wanted = bloom.build(nodes.join(self.classes, "cls").select("row_key"))
         chosen = self.docs.where(bloom.may_contain(wanted, F.col("row_key"))).select("text")
-        sets = stage(chosen.mapInArrow(_sets(self.orders, self.k, self.num, self.den), "cls long, tokens array<long>, second array<long>, third array<long>"), "sets")
+        sets = stage(chosen.mapInArrow(_sets(self.orders, self.k, self.num, self.den), "cls long, tokens array<long>, second array<int>, third array<int>"), "sets")
 
         def beside(df, *columns):
             for side in ("a", "b"):
                 df = df.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(c + side) for c in columns]), side)
             return df
 
-        near = beside(pairs, "second", "third").where(F.arrays_overlap("seconda", "secondb") & F.arrays_overlap("thirda", "thirdb"))
-        near = stage(near.select("a", "b").distinct(), "candidates")
+        near = pairs
+        for order in ("second", "third"):
+            near = stage(beside(near, order).where(F.arrays_overlap(order + "a", order + "b")).select("a", "b").distinct(), "candidates")
         both = F.size(F.array_intersect("tokensa", "tokensb"))
         either = F.size("tokensa") + F.size("tokensb") - both
         return stage(beside(near, "tokens").where(both * self.den >= either * self.num).select("a", "b").distinct(), "links")
