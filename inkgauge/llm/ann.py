@@ -6,8 +6,10 @@ the vector, which is what shifts large inner products, costs eta times the rest.
 from a bounded sample by coordinate descent; every row is coded and searched.
 
 A search takes the queries in blocks of bounded size, each broadcast with its tables. Tasks scan
-their rows' codes, two four-bit codes a byte and so one 256-entry table a byte, keep the best
-by table sum, and rerank those with inner products of the original vectors in double precision. Each
+their rows' codes, two four-bit codes a byte and so one 256-entry table a byte. The best by table
+sum are scored with inner products of the original vectors in double precision; their k-th score
+is a floor. Then every row is scored whose table sum plus the bound on its error, query norm times
+residual norm, reaches the floor, so the k nearest are exact, ties by smaller id. Each
 task hands on at most k rows for a query, merged in two rounds of window functions.
 """
 
@@ -29,11 +31,15 @@ SUB_DIM = 2
 SAMPLE = 16_384
 #: Queries broadcast at once.
 QUERY_BLOCK = 8_192
-#: Rows of a task that are scanned together, and how many of them a query reranks.
+#: Rows of a task that are scanned together, and how many of them set a query's first floor.
 SCAN_ROWS = 16_384
 RERANK = 160
 #: Queries scored together in a task.
 SCAN_QUERIES = 256
+#: Pairs of a query and a row scored at once.
+EXACT_PAIRS = 32_768
+#: What rounding in float32 tables and sums can add to an error, as a share of the norms; 64 additions stay below it.
+ROUNDING = 1e-5
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -125,9 +131,30 @@ def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[1::2][:, :, None, :] + one[0::2][:, None, :, :]).reshape(len(one) // 2, 256, -1).astype(np.float32)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query number, row number, score) of the k best of these rows for each query, a block of queries at a time."""
+def reach(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """What a row's inner product with a query of norm 1 can exceed its table sum by: the residual norm and rounding."""
+    lost = np.sqrt(((halves(x) - books[np.arange(len(books))[:, None], codes.T]) ** 2).sum((0, 2)))
+    return lost + ROUNDING * max(1.0, len(books) / 64) * (np.linalg.norm(x, axis=1) + lost)
+
+
+def exact(x: np.ndarray, q: np.ndarray, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, each summed in the same order, so that copies tie."""
+    out = np.empty(len(row))
+    for a in range(0, len(row), EXACT_PAIRS):
+        part = slice(a, a + EXACT_PAIRS)
+        out[part] = np.einsum("pd,pd->p", x[row[part]], q[number[part]])
+    return out
+
+
+def scan(
+    ids: np.ndarray, x: np.ndarray, packed: np.ndarray, reaches: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int, floors: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query number, row number, score) of the k best of these rows for each query, a block of queries at a time.
+
+    Rows below a query's floor, a score that k rows are known to reach, may be left out.
+    """
     keep = min(len(ids), max(rerank, k + 1))
+    norms = np.linalg.norm(queries, axis=1)
     for a in range(0, len(queries), SCAN_QUERIES):
         q = queries[a : a + SCAN_QUERIES]
         t = tables(q, books)
@@ -138,13 +165,25 @@ def scan(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, query_ids: np.ndarr
         own = ids[None, :] == query_ids[a : a + SCAN_QUERIES, None]
         approx[own] = -np.inf
         top = np.argpartition(approx, len(ids) - keep, axis=1)[:, len(ids) - keep :] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), approx.shape)
-        exact = np.einsum("qrd,qd->qr", x[top], q)
-        exact[np.take_along_axis(own, top, 1)] = -np.inf
-        order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-        row, score = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-        number = np.repeat(np.arange(a, a + len(q)), row.shape[1])
-        fine = score.ravel() > -np.inf
-        yield number[fine], row.ravel()[fine], score.ravel()[fine]
+        first = exact(x, q, top.ravel(), np.repeat(np.arange(len(q)), keep)).reshape(top.shape)
+        first[np.take_along_axis(own, top, 1)] = -np.inf
+        floor = floors[a : a + SCAN_QUERIES]
+        if keep >= k:
+            floor = np.maximum(floor, np.partition(first, keep - k, axis=1)[:, keep - k])
+        number, row = [], []
+        for i in range(len(q)):
+            below = approx[i] + norms[a + i] * reaches < floor[i]
+            below &= np.isfinite(approx[i])
+            r = np.flatnonzero(~(below | own[i]))
+            number.append(np.full(len(r), i))
+            row.append(r)
+        number, row = np.concatenate(number), np.concatenate(row)
+        score = exact(x, q, row, number)
+        fine = score >= floor[number]
+        number, row, score = number[fine], row[fine], score[fine]
+        order = np.lexsort((ids[row], -score, number))
+        order = order[np.arange(len(order)) - np.searchsorted(number[order], number[order]) < k]
+        yield number[order] + a, row[order], score[order]
 
 
 def build(vectors: DataFrame, dim: int, *, sample: int = SAMPLE, threshold: float = 0.2) -> tuple[np.ndarray, float]:
@@ -158,7 +197,7 @@ def build(vectors: DataFrame, dim: int, *, sample: int = SAMPLE, threshold: floa
 
 
 def index(vectors: DataFrame, books: np.ndarray, eta: float) -> DataFrame:
-    """(id, vector, codes): every row coded, two four-bit codes a byte."""
+    """(id, vector, codes, reach): every row coded, two four-bit codes a byte, with the bound on the error of its sums."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
@@ -166,17 +205,18 @@ def index(vectors: DataFrame, books: np.ndarray, eta: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-            codes = pairs(encode(x, shared.value, eta)).T
-            yield pa.record_batch([batch.column("id"), batch.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "codes"])
+            found = encode(x, shared.value, eta)
+            codes = pa.array([c.tobytes() for c in pairs(found).T], pa.binary())
+            yield pa.record_batch([batch.column("id"), batch.column("vector"), codes, pa.array(reach(x, found, shared.value))], names=["id", "vector", "codes", "reach"])
 
-    return vectors.mapInArrow(run, "id long, vector array<double>, codes binary")
+    return vectors.mapInArrow(run, "id long, vector array<double>, codes binary, reach double")
 
 
 def search(indexed: DataFrame, queries: DataFrame, books: np.ndarray, *, k: int = 20, rerank: int = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row (id, vector) of queries its k nearest of indexed.
 
-    A candidate with the query's id is the query's own and left out. Repeated candidate ids count
-    as rows of their own. Fewer than k candidates give all of them; no queries give no rows.
+    Equal to brute force in double precision, ties by smaller id; rerank only decides cost. A candidate
+    with the query's id is the query's own and left out. Repeated candidate ids count as rows of their own. Fewer than k candidates give all of them; no queries give no rows.
     """
     spark = indexed.sparkSession
     held = stage(queries.select("id", "vector").withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block))))), "queries")
@@ -198,11 +238,12 @@ def _scanner(shared, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q, books = shared.value
         best = None  # (number, id, score) of the best k so far for each query
+        floors = np.full(len(q), -np.inf)
         for a in _stretches(batches):
             ids = a.column("id").to_numpy()
             x = a.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             packed = np.ascontiguousarray(np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T)
-            new = [np.concatenate(c) for c in zip(*((n, ids[r], s) for n, r, s in scan(ids, x, packed, query_ids, q, books, k, rerank)), strict=True)]
+            new = [np.concatenate(c) for c in zip(*((n, ids[r], s) for n, r, s in scan(ids, x, packed, a.column("reach").to_numpy(), query_ids, q, books, k, rerank, floors)), strict=True)]
             if best is not None:
                 new = [np.concatenate(c) for c in zip(best, new, strict=True)]
                 order = np.lexsort((new[1], -new[2], new[0]))
@@ -210,6 +251,9 @@ def _scanner(shared, k: int, rerank: int):
                 nth = np.arange(len(order)) - np.searchsorted(number, number)
                 new = [c[order[nth < k]] for c in new]
             best = new
+            number, at, count = np.unique(best[0], return_index=True, return_counts=True)
+            full = count >= k
+            floors[number[full]] = best[2][at[full] + k - 1]
         if best is not None:
             yield pa.record_batch([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
 

@@ -259,6 +259,20 @@ def test_nearest_against_brute_force(spark):
     assert ann.search(ann.index(vectors, books, eta), vectors.limit(0), books).count() == 0
 
 
+def test_nearest_is_exact_in_a_group_of_copies(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 16))
+    x[0:3000:3] = x[0]  # a third in one group: exact copies, and near ones
+    x[1500:3000:3] += rng.normal(size=(500, 16)) * 1e-4
+    vectors, dim = ann.usable(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1), "vec_id", "embedding")
+    books, eta = ann.build(vectors, dim)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(ann.index(vectors, books, eta), vectors.where("id % 50 < 2"), books, k=20).collect()}
+    for q in (i for i in range(3000) if i % 50 < 2):
+        s = np.einsum("nd,nd->n", x, np.broadcast_to(x[q], x.shape))
+        s[q] = -np.inf
+        assert [got[q, r] for r in range(1, 21)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 16))
