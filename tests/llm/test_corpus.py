@@ -238,6 +238,32 @@ def test_licences(spark):
     assert {i: found[i] for i in range(7)} == {0: "apache-2.0", 1: "proprietary", 2: None, 3: None, 4: None, 5: "gpl", 6: None}
 
 
+def test_licences_over_wrapped_lines(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    mark = lambda t, m: "\r\n".join(f"{m} {x}".rstrip() for x in t.split("\n"))
+    prose = " ".join(random.Random(77).choice(WORDS) for _ in range(300))
+    texts = [mit, bsd, gpl, "/*\n" + mark(mit, " *") + "\n */", mark(bsd, "#"), mark(gpl, "//"), f"{prose}.\n{gpl}\n{prose}.", "Released under\nthe MIT License.\n\nAll rights\nreserved."]
+    filler = [(100 + i, " ".join(random.Random(i).choice(WORDS) for _ in range(12))) for i in range(60)]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame([*enumerate(texts), *filler], "doc_id long, text string")).collect()}
+    assert [got[i]["licence"] for i in range(7)] == ["mit", "bsd", "gpl"] * 2 + ["gpl"]
+    assert got[2]["n_notices"] == got[6]["n_notices"] == 1 and (got[7]["families"], got[7]["n_notices"]) == (["mit", "proprietary"], 2)
+    assert all(got[i]["licence"] is None and got[i]["n_notices"] == 0 for i, _ in filler)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 15))
