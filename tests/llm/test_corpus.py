@@ -264,6 +264,16 @@ the Free Software Foundation, either version 3 of the License, or
     assert all(got[i]["licence"] is None and got[i]["n_notices"] == 0 for i, _ in filler)
 
 
+def test_licences_without_a_cue_word(spark):
+    rows = [(0, "Distributed under the GPL v3 or later."), (1, "Some words before.\nDistributed under the GPL v3\nor later.")]
+    filler = [(100 + i, " ".join(random.Random(i).choice(WORDS) for _ in range(12))) for i in range(60)]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows + filler, "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == "gpl" and not any(got[i] for i, _ in filler)
+    bare = [(f, re.sub(r"[^ ]*(" + "|".join(map(re.escape, licences.ANCHORS)) + r")[^ ]*", "|", t.lower())) for f, texts in licences.TEMPLATES.items() for t in texts]
+    shares = spark.createDataFrame(bare, "family string, unit string").select(licences.may_hold(F.col("unit")).alias("m"), licences.confirmed(F.col("unit"), F.col("family")).alias("s")).collect()
+    assert all(not r["m"] and r["s"] < licences.CONFIRM for r in shares)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 15))
