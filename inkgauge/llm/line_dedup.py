@@ -26,7 +26,7 @@ def _bare(line: Column) -> Column:
 
 
 def _line_key(line: Column) -> Column:
-    return F.xxhash64(_bare(line), F.length(line))
+    return F.xxhash64(_bare(line), F.length(_bare(line)))
 
 
 def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

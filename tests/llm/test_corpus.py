@@ -97,6 +97,13 @@ def test_line_dedup(docs, spark):
     assert got[52, "body 2"]["n_dropped"] == 0 and got[99, None]["n_lines_"] == 0 and got[97, ""]["n_dropped"] == 2
 
 
+def test_line_dedup_ignores_ends_of_lines(spark):
+    ends = ["\r", "", "  ", "\t"]
+    rows = [(i, f"body {i}\n" + (f"boiler plate{ends[i % 4]}" if i < 8 else f"own {i}"), "a") for i in range(100)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["n_dropped"] == (i < 8) and got[i]["n_lines"] == 2 for i in range(100)) and got[0]["text"] == "body 0"
+
+
 def sets(rows, k):
     table = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     out = []
