@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgauge.llm.common import stage
 from inkgauge.llm.shingles import mixed
 
-#: log2 of the bits: 4 MB, to the driver and to each executor.
-LOG_BITS = 25
+#: log2 of the bits, by the number of keys: 32 MB at most, to the driver and to each executor.
+LEAST_BITS, MOST_BITS = 16, 28
+BITS_A_KEY = 12
 HASHES = 3
 
 
@@ -25,8 +27,11 @@ def places(keys: np.ndarray, log_bits: int) -> Iterator[np.ndarray]:
         yield mixed(keys.view(np.uint64), 31 + seed) >> np.uint64(64 - log_bits)
 
 
-def build(keys: DataFrame, log_bits: int = LOG_BITS):
-    """The broadcast bits of the one long column of keys; nulls are ignored."""
+def build(keys: DataFrame, log_bits: int | None = None):
+    """The broadcast bits of the one long column of keys, which is staged; nulls are ignored."""
+    keys = stage(keys, "bloom-keys")
+    if log_bits is None:
+        log_bits = min(MOST_BITS, max(LEAST_BITS, (keys.count() * BITS_A_KEY).bit_length()))
 
     def run(batches):
         bits = np.zeros(1 << (log_bits - 6), np.uint64)
@@ -55,10 +60,8 @@ def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def may_contain(shared, key: Column) -> Column:
     """Whether a long column may be among the keys; never false for one that is."""
 
-    @F.pandas_udf("boolean")
-    def asked(keys):
-        import pandas as pd
-
-        return pd.Series(among(shared.value, keys.to_numpy().astype(np.int64)))
+    @F.arrow_udf("boolean")
+    def asked(keys: pa.Array) -> pa.Array:
+        return pa.array(among(shared.value, keys.to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return asked(key)

@@ -3,15 +3,17 @@
 Texts with equal shingle sets are one class (a 64-bit signature of the set). Under any global
 order of shingles two sets that reach the threshold share one among their first
 n - ceil(t n) + 1; this holds for each order, so a candidate must share prefix tokens under
-all of them. The first order, rarest first, generates candidates through posting lists with the
-length and position bound; the other two orders, hash permutations, filter the pairs before
-sets are compared. They filter one after the other and by the upper half of each hash, which may
-only let more pairs through, so that a pair carries few bytes before it is known to be near.
+all of them, and the place of the first shared one bounds the overlap under each. The first order,
+rarest first, makes posting lists. Tokens that stand in one prefix only are dropped before lists are
+made. Pairs that pass the place bound of the first order are filtered by both later orders, hash
+permutations of which the upper 16 bits of each hash are kept (which may only let more pairs through).
+What is left is compared, first by parity sketches, which bound the difference from below, then by whole sets.
 
 Only components are asked for, so a posting list isn't expanded into all pairs. In a first round
 each list links its members to one leader, the member whose prefix has the token earliest (the
-centre of a group of near copies). In the second, lists whose members still lie in different
-components are joined with themselves across components, which makes the result exact.
+centre of a group of near copies). In the second only members of different components meet, which
+makes the result exact; a list of more than LONG members is split there by the prefix tokens of the
+second order, and then of the third, so that members meet that share a token under every order.
 
 Orders may be any as long as they are fixed; frequencies only decide cost. They come from one
 pass over all texts that counts, in stretches of bounded size, tokens found more than once; the
@@ -21,6 +23,7 @@ most frequent HEAVY tokens are broadcast, all others count as rare.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,11 @@ HEAVY = 1 << 19
 #: Tokens that a task counts together.
 STRETCH = 1 << 20
 #: Signatures that a task remembers so as to work on equal sets once.
-SEEN = 1 << 20
+SEEN = 1 << 18
 #: Prefix tokens in an output batch.
-BATCH = 1 << 18
+BATCH = 1 << 17
+#: Members of a list that meet without splitting it by the next order.
+LONG = 4096
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -48,6 +53,18 @@ def signature(tokens: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens in each of a power of two of cells, as many as tokens or more, 64 a word.
+
+    The cells in which two sketches differ are no more than the tokens in which the sets differ; a
+    sketch is folded to half its cells by xor of its halves.
+    """
+    log = max(6, (len(tokens) - 1).bit_length())
+    cell = mixed(tokens, 20) & np.uint64((1 << log) - 1)
+    odd = np.bincount(cell.astype(np.int64), minlength=1 << log) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n + (-num * n // den) + 1
 
@@ -132,54 +149,92 @@ class Orders:
         return tokens[np.argsort(rank)[:size]]
 
 
-def _postings(shared, k: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, pos, n, cls, size, seen = [], [], [], [], 0, set()
+def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(signature, tokens) of the non-empty sets, equal ones once while they are remembered."""
+    seen: set[int] = set()
+    for batch in batches:
+        for tokens in shingle_sets(batch.column("text").to_pylist(), k):
+            if not len(tokens) or (own := signature(tokens)) in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(own)
+            yield own, tokens
 
-        def sent():
-            each = [len(t) for t in token]
-            return pa.record_batch({"token": pa.array(np.concatenate(token).view(np.int64)), "pos": pa.array(np.concatenate(pos), pa.int32()), "n": pa.array(np.repeat(n, each), pa.int32()), "cls": pa.array(np.repeat(cls, each), pa.int64())})
 
-        for batch in batches:
-            for tokens in shingle_sets(batch.column("text").to_pylist(), k):
-                if not len(tokens) or (own := signature(tokens)) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(own)
-                first = shared.value.prefix(tokens, 0, prefix_size(len(tokens), num, den))
-                token.append(first)
-                pos.append(np.arange(len(first)))
-                n.append(len(tokens))
-                cls.append(own)
-                size += len(first)
-                if size >= BATCH:
-                    yield sent()
-                    token, pos, n, cls, size = [], [], [], [], 0
+def _prefixes(shared, k: int, num: int, den: int):
+    """The tokens of all prefixes under the first order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, size = [], 0
+        for _, tokens in _texts(batches, k):
+            token.append(shared.value.prefix(tokens, 0, prefix_size(len(tokens), num, den)))
+            size += len(token[-1])
+            if size >= BATCH:
+                yield pa.record_batch({"token": pa.array(np.concatenate(token).view(np.int64))})
+                token, size = [], 0
         if size:
-            yield sent()
+            yield pa.record_batch({"token": pa.array(np.concatenate(token).view(np.int64))})
 
     return run
 
 
-def _sets(shared, k: int, num: int, den: int):
+def _records(shared, recurring, k: int, num: int, den: int):
+    """(cls, n, first array<struct<token, pos>>, second, third, sketch) of the sets with prefix tokens that may stand in other prefixes too.
+
+    first are those tokens under the first order; second and third the prefixes under the others, in
+    their order, the upper 16 bits of each hash.
+    """
+    first = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, size = [], 0
+        rows, size = [], 0
+
+        def sent(rows):
+            own, n, token, pos, second, third, parity = zip(*rows, strict=True)
+            listed = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), kind)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(pos), pa.int32())], fields=list(first.value_type))
+            return pa.record_batch([pa.array(own, pa.int64()), pa.array(n, pa.int32()), listed(token, pairs), listed(second, pa.array(np.concatenate(second))), listed(third, pa.array(np.concatenate(third))), listed(parity, pa.array(np.concatenate(parity)))], names=["cls", "n", "first", "second", "third", "sketch"])
+
+        for own, tokens in _texts(batches, k):
+            p = prefix_size(len(tokens), num, den)
+            token = shared.value.prefix(tokens, 0, p)
+            at = np.flatnonzero(bloom.among(recurring.value, token.view(np.int64)))
+            if len(at):
+                later = [(shared.value.rank(shared.value.prefix(tokens, o, p), o) >> np.uint64(48)).astype(np.uint16).view(np.int16) for o in (1, 2)]
+                rows.append((own, len(tokens), token[at], at, *later, sketch(tokens)))
+                size += len(at) + 2 * p
+                if size >= BATCH:
+                    yield sent(rows)
+                    rows, size = [], 0
+        if rows:
+            yield sent(rows)
 
-            def sent(rows):
-                return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2))], names=["cls", "tokens", "second", "third"])
+    return run
 
-            for tokens in shingle_sets(batch.column("text").to_pylist(), k):
-                if len(tokens):
-                    p = prefix_size(len(tokens), num, den)
-                    rows.append((signature(tokens), tokens.view(np.int64), *((shared.value.prefix(tokens, o, p) >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in (1, 2))))
-                    size += len(tokens)
-                    if size >= BATCH:
-                        yield sent(rows)
-                        rows, size = [], 0
-            if rows:
-                yield sent(rows)
+
+def _sets(wanted, k: int):
+    """(cls, tokens) of the rows whose row_key may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(own, sets):
+            return pa.record_batch({"cls": pa.array(own, pa.int64()), "tokens": pa.array(sets, pa.list_(pa.int64()))})
+
+        def chosen():
+            for batch in batches:
+                asked = bloom.among(wanted.value, batch.column("row_key").to_numpy())
+                yield batch if asked.all() else batch.filter(pa.array(asked))
+
+        own, sets, size = [], [], 0
+        for key, tokens in _texts(chosen(), k):
+            own.append(key)
+            sets.append(tokens.view(np.int64))
+            size += len(tokens)
+            if size >= BATCH:
+                yield sent(own, sets)
+                own, sets, size = [], [], 0
+        if own:
+            yield sent(own, sets)
 
     return run
 
@@ -193,7 +248,8 @@ class Join:
     """One run of the join over docs; see near_duplicates()."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int):
-        self.k, self.num, self.den = k, num, den
+        self.rule = (k, num, den)
+        self.num, self.den = num, den
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
         kind = self.docs.schema["id"].dataType.simpleString()
         found = stage(self.docs.mapInArrow(_profiles(k), f"id {kind}, row_key long, cls long, n long, token long"), "profiles")
@@ -205,51 +261,107 @@ class Join:
             "classes",
         )
 
-    def lists(self) -> DataFrame:
-        """Postings of the rarest-first order with their list's leader, for lists with two classes at least."""
-        postings = stage(self.docs.select("text").mapInArrow(_postings(self.orders, self.k, self.num, self.den), "token long, pos int, n int, cls long"), "postings")
-        lead = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("lead"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-        lead = lead.select("token", F.col("lead.pos").alias("lpos"), F.col("lead.n").alias("ln"), F.col("lead.cls").alias("lcls"))
-        return stage(postings.join(lead, "token"), "lists")
+    def fits(self, n1, p1, n2, p2) -> Column:
+        return _possible(F.col(n1), F.col(p1), F.col(n2), F.col(p2), self.num, self.den)
+
+    def prepare(self) -> None:
+        """self.records, one a class, and self.lists: (token, pos, n, cls, lpos, ln, lcls, size) of the posting lists that hold two classes at least, with their leaders."""
+        texts = self.docs.select("text")
+        again = texts.mapInArrow(_prefixes(self.orders, *self.rule), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+        recurring = bloom.build(again)
+        kinds = "cls long, n int, first array<struct<token:long,pos:int>>, second array<short>, third array<short>, sketch array<long>"
+        self.records = stage(texts.mapInArrow(_records(self.orders, recurring, *self.rule), kinds).dropDuplicates(["cls"]), "records")
+        postings = self.records.select("n", "cls", F.explode("first").alias("p")).select("p.token", "p.pos", "n", "cls").repartition("token")
+        lead = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+        lead = lead.select("token", F.col("lead.pos").alias("lpos"), F.col("lead.n").alias("ln"), F.col("lead.cls").alias("lcls"), "size")
+        self.lists = stage(postings.join(lead, "token"), "lists")
+        self.longest = self.lists.agg(F.max("size")).first()[0] or 0
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that reach the threshold, staged."""
-        pairs = stage(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
-        wanted = bloom.build(nodes.join(self.classes, "cls").select("row_key"))
-        chosen = self.docs.where(bloom.may_contain(wanted, F.col("row_key"))).select("text")
-        sets = stage(chosen.mapInArrow(_sets(self.orders, self.k, self.num, self.den), "cls long, tokens array<long>, second array<int>, third array<int>"), "sets")
-
-        def beside(df, *columns):
+        """Those of the staged pairs (a, b) that reach the threshold, staged: filtered by the later orders and the sketches, then compared."""
+
+        def beside(df, of, *columns):
             for side in ("a", "b"):
-                df = df.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(c + side) for c in columns]), side)
+                df = df.join(of.select(F.col("cls").alias(side), *[F.col(c).alias(c + side) for c in columns]), side)
             return df
 
-        near = pairs
-        for order in ("second", "third"):
-            near = stage(beside(near, order).where(F.arrays_overlap(order + "a", order + "b")).select("a", "b").distinct(), "candidates")
+        def nodes(df):
+            return df.select(F.col("a").alias("cls")).unionAll(df.select("b")).distinct()
+
+        def place(order, side, common):
+            return F.array_position(order + side, common) - 1
+
+        def folded(x, y):
+            n = F.size(y)
+            return F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda v, w: v.bitwiseXOR(w))).otherwise(x)
+
+        def differ():
+            """Cells in which two sketches differ; of unlike sizes the larger one is folded, and beyond twice the size 0 counts."""
+            x, y = F.col("sketcha"), F.col("sketchb")
+            far = F.greatest(F.size(x), F.size(y)) > 2 * F.least(F.size(x), F.size(y))
+            words = F.zip_with(folded(x, y), folded(y, x), lambda v, w: F.bit_count(v.bitwiseXOR(w)))
+            return F.when(far, 0).otherwise(F.aggregate(words, F.lit(0), lambda t, w: t + w))
+
+        near, records = pairs, self.records.where(bloom.may_contain(bloom.build(nodes(pairs)), F.col("cls")))
+        close = differ() * (self.num + self.den) <= (F.col("na") + F.col("nb")) * (self.den - self.num)
+        for order, more, exact in (("second", [], F.lit(True)), ("third", ["sketch"], close)):
+            common = F.get(F.array_intersect(order + "a", order + "b"), F.lit(0))  # equal bits of different hashes only let more through, as both prefixes are in order
+            fits = _possible(F.col("na"), place(order, "a", common), F.col("nb"), place(order, "b", common), self.num, self.den)
+            near = stage(beside(near, records, "n", order, *more).where(common.isNotNull() & fits & exact).select("a", "b"), "candidates")
+        wanted = bloom.build(nodes(near).join(self.classes, "cls").select("row_key"))
+        sets = stage(self.docs.select("row_key", "text").mapInArrow(_sets(wanted, self.rule[0]), "cls long, tokens array<long>"), "sets")
         both = F.size(F.array_intersect("tokensa", "tokensb"))
         either = F.size("tokensa") + F.size("tokensb") - both
-        return stage(beside(near, "tokens").where(both * self.den >= either * self.num).select("a", "b").distinct(), "links")
+        return stage(beside(near, sets, "tokens").where(both * self.den >= either * self.num).select("a", "b").distinct(), "links")
+
+    def led(self) -> DataFrame:
+        """(a, b), staged: the members of each list with its leader, the member whose prefix has the token earliest, if they can reach the threshold."""
+        met = self.lists.where((F.col("cls") != F.col("lcls")) & self.fits("n", "pos", "ln", "lpos"))
+        return stage(met.select(F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b")).distinct(), "pairs")
+
+    def across(self, links: DataFrame) -> DataFrame:
+        """(a, b), staged: all pairs of the lists that can reach the threshold and lie in different components of links.
+
+        A list of more than LONG members is split by the prefix tokens of the second order, and where such a
+        part is still long, by those of the third: only members that share a token under each order meet.
+        """
+        roots = components(links).withColumnRenamed("node", "cls")
+        known = stage(self.lists.select("token", "pos", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "known")
+        keys, places, found = ["token"], ["pos"], []
+
+        def met(lists):
+            x, y = lists.alias("x"), lists.alias("y")
+            on = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+            for key in keys:
+                on &= F.col("x." + key) == F.col("y." + key)
+            for p in places:
+                on &= self.fits("x.n", "x." + p, "y.n", "y." + p)
+            return x.join(y, on).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+        def sized(lists):
+            dealt = lists.repartition(*keys)
+            size = dealt.groupBy(*keys).agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+            return dealt.join(size.drop("low", "high"), keys)
+
+        lists = known
+        for order in ("second", "third"):
+            found.append(met(sized(lists).where(F.col("size") <= LONG).drop("size")))
+            if self.longest <= LONG:
+                break
+            lists = stage(sized(lists).where(F.col("size") > LONG).drop("size"), "long")
+            later = self.records.select("cls", F.posexplode(order).alias("p_" + order, order))
+            lists = stage(lists.join(later, "cls"), "long")
+            keys, places = [*keys, order], [*places, "p_" + order]
+        else:
+            found.append(met(lists))
+        return stage(reduce(DataFrame.unionAll, found).distinct(), "pairs")
 
     def components(self) -> DataFrame:
         """(cls, root) of the classes that have links."""
-        lists = self.lists()
-        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        fits = _possible(F.col("n"), F.col("pos"), F.col("ln"), F.col("lpos"), self.num, self.den)
-        links = self.links(lists.where((F.col("cls") != F.col("lcls")) & fits).select(*pair(F.col("cls"), F.col("lcls"))).distinct())
-        roots = stage(components(links), "roots")
-        known = stage(lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).where("cls <> lcls"), "labelled")
-        mixed_ = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        open_ = stage(known.join(mixed_, "token").select("token", "pos", "n", "cls", "root").distinct(), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-        fits = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), self.num, self.den)
-        rest = stage(x.join(y, apart & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "rest")
-        if not rest.limit(1).count():
-            return roots
-        more = self.links(rest)
-        return stage(components(links.unionAll(more)), "roots") if more.limit(1).count() else roots
+        self.prepare()
+        links = self.links(self.led())
+        more = self.links(self.across(links))
+        return stage(components(links.unionAll(more)), "roots")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _PRIME = 0x100000001B3
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))

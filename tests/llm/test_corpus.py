@@ -138,6 +138,37 @@ def test_jaccard_against_all_pairs(docs, k, num):
     assert sorted(map(tuple, got)) == brute_components(corpus(), k, num)
 
 
+@pytest.mark.parametrize("long", [4096, 4, 1])
+def test_jaccard_in_long_lists(spark, monkeypatch, long):
+    """A shared passage in many near-threshold sets: lists of several components, split by the later orders or not."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rng, rows = random.Random(9), []
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(400))
+    shared = [word() for _ in range(60)]
+    for g in range(12):
+        base = shared + [word() for _ in range(rng.choice([14, 20]))]
+        for c in range(8):
+            w = list(base)
+            for _ in range(rng.choice([0, 2, 4, 5, 6])):
+                w[rng.randrange(len(w))] = word()
+            rows.append((8 * g + c, " ".join(w), "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = jaccard.near_duplicates(df, words=3, num=78).collect()
+    want = brute_components(rows, 3, 78)
+    assert sorted(map(tuple, got)) == want and 12 < len({c for _, _, c in want}) < 90
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (64, 65), (300, 300), (500, 530)):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate((a[: n // 2], rng.integers(0, 2**63, m - n // 2).astype(np.uint64)))
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        if len(y) > len(x):
+            y = y[: len(x)] ^ y[len(x) :]
+        assert int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * (n // 2)
+
+
 def test_one_of_each(docs):
     got = jaccard.one_of_each(docs, words=5, num=80)
     assert got.columns == docs.columns
