@@ -407,3 +407,21 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: documents by 3-word shingles at 0.9."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90)
+
+
+#: All pairs that share a shingle, and the rows their links reach.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), x AS (
+  SELECT r, len(g) AS n, unnest(g) AS g FROM s
+), p AS (
+  SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.g = b.g AND a.r <> b.r AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT r AS a, r AS b FROM s UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
+)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN reach ON s.r = reach.a JOIN s t ON t.r = reach.b GROUP BY s.r, s.doc_id, s.g
+"""

@@ -26,7 +26,7 @@ def _bare(line: Column) -> Column:
 
 
 def _line_key(line: Column) -> Column:
-    return F.xxhash64(_bare(line), F.length(_bare(line)))
+    return F.xxhash64(_bare(line))
 
 
 def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -90,15 +90,15 @@ WITH pages AS (
 ), bare AS (
   SELECT page, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS b FROM exploded
 ), counted AS (
-  SELECT source, b, length(line) AS n, count(DISTINCT page) AS pages FROM bare WHERE b <> '' GROUP BY ALL
+  SELECT source, b, count(DISTINCT page) AS pages FROM bare WHERE b <> '' GROUP BY ALL
 ), totals AS (
   SELECT source, count(*) AS host_pages FROM pages GROUP BY source
 ), bad AS (
-  SELECT c.source, b, n FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  SELECT c.source, b FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
   WHERE c.pages > {RATIO} * t.host_pages AND c.pages >= {MIN_PAGES}
 ), marked AS (
   SELECT x.page, x.pos, x.line, x.b, bad.b IS NOT NULL AS gone
-  FROM bare x LEFT JOIN bad ON x.source IS NOT DISTINCT FROM bad.source AND x.b = bad.b AND length(x.line) = bad.n
+  FROM bare x LEFT JOIN bad ON x.source IS NOT DISTINCT FROM bad.source AND x.b = bad.b
 )
 SELECT p.doc_id,
        count(*) FILTER (b <> '') AS n_lines,

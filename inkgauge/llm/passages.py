@@ -319,3 +319,25 @@ def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: documents, windows of 50 words."""
     return dedup_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: All windows by their digest.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT r, doc_id, unnest(generate_series(1, len(w) - 49)) AS i, w FROM d WHERE doc_id IS NOT NULL
+), y AS (
+  SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM x
+), z AS (
+  SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY k) AS gone FROM y
+), o AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS j FROM z WHERE gone
+), e AS (
+  SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS j FROM d
+), m AS (
+  SELECT r, count(*) FILTER (o.j IS NOT NULL) AS n_removed, string_agg(v, ' ' ORDER BY e.j) FILTER (o.j IS NULL) AS kept
+  FROM e LEFT JOIN o USING (r, j) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m USING (r)
+"""

@@ -20,12 +20,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_ngram_jaccard": jaccard.query,
-    "op4_toxicity": toxicity.query,
-    "op5_licence_scan": licences.query,
-    "op6_media_webp": media.query,
-    "op7_nearest_vectors": ann.query,
-    "op8_repeated_passages": passages.query,
-    "op9_site_quality": quality.query,
+    "op3_ngram_jaccard": jaccard.SQL,
+    "op7_nearest_vectors": ann.SQL,
+    "op8_repeated_passages": passages.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
