@@ -138,11 +138,12 @@ def reach(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def exact(x: np.ndarray, q: np.ndarray, row: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Inner products of pairs, each summed in the same order, so that copies tie."""
-    out = np.empty(len(row))
+    """Inner products of pairs, each summed from the first component to the last, so that copies tie and any engine agrees."""
+    out = np.zeros(len(row))
     for a in range(0, len(row), EXACT_PAIRS):
         part = slice(a, a + EXACT_PAIRS)
-        out[part] = np.einsum("pd,pd->p", x[row[part]], q[number[part]])
+        for product in (x[row[part]] * q[number[part]]).T:
+            out[part] += product
     return out
 
 
@@ -280,3 +281,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     books, eta = build(vectors, dim)
     indexed = stage(index(vectors, books, eta), "index")
     return search(indexed, vectors.where("id % 20 = 0"), books)
+
+
+#: All inner products of the queries.
+SQL = r"""
+WITH v AS (
+  SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT id, e FROM v WHERE id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.e, c.e) AS score FROM u q JOIN u c ON q.id % 20 = 0 AND c.id <> q.id AND len(c.e) = len(q.e)
+)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
+"""
