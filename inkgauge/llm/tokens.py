@@ -55,15 +55,16 @@ class Recent:
 
 
 class WordBpe:
-    """Ids for the word_bpe_49k vocabulary, without special tokens; their strings in a text are ordinary text."""
+    """Ids for the word_bpe_49k vocabulary, as encode(text, add_special_tokens=False) gives them: a special token's string in a text is that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
-        pattern = json.load(open(path))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        made = json.load(open(path))
+        self.special = [t["content"] for t in made["added_tokens"]]
+        pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
         self.words, self.pieces = Recent(WORD_CACHE), Recent(PIECE_CACHE)
@@ -76,7 +77,12 @@ class WordBpe:
             self.pieces.put(piece, found)
         return found
 
+    def whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def word(self, word: str) -> bytes:
+        if any(t in word for t in self.special):
+            return self.whole(word)
         if word.isascii():
             low = word.lower()
             if low.isalpha():
@@ -85,7 +91,7 @@ class WordBpe:
             whole = unicodedata.normalize("NFC", word)
             low = "".join([c.lower() for c in whole]) if "\u03a3" in whole else whole.lower()
         if _ODD.search(low):
-            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            return self.whole(word)
         if low[:-1].isalpha() and low.isascii():
             return self.piece(low[:-1]) + self.piece(low[-1])
         return b"".join([self.piece(p) for p in self.split(low)])

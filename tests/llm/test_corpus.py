@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,9 @@ import public_tokenizers
 import pyspark.sql.functions as F
 import pytest
 
-from inkgauge.llm import ann, bloom, components, jaccard, licences, line_dedup, mixing, packing, passages, quality, toxicity
+from tokenizers import Tokenizer
+
+from inkgauge.llm import ann, bloom, components, jaccard, licences, line_dedup, mixing, packing, passages, quality, queries, toxicity
 from inkgauge.llm.tokens import WordBpe
 
 WORDS = [a + b for a in "ba de gi ko mu".split() for b in "ra sel tin dor".split()]
@@ -205,7 +208,7 @@ def test_passages_against_all_windows(docs):
 
 def test_packing_round_trip(docs):
     plan = packing.pack(docs, path=PATH, seq_len=256).collect()
-    tokenizer = WordBpe(PATH).tokenizer
+    tokenizer = Tokenizer.from_file(PATH)
     pieces, fill = {}, {}
     for r in plan:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -231,6 +234,16 @@ def test_packing_round_trip(docs):
     assert sum(len(r["ids"]) for r in made) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, _ in corpus() if i is not None and i < 60)
 
 
+def test_ids_equal_the_untouched_tokenizer():
+    plain, ours = Tokenizer.from_file(PATH), WordBpe(PATH)
+    odd = ["abc <|startoftext|> def", "x<|endoftext|>Y <|endoftext|><|startoftext|>", "<|STARTOFTEXT|> <|endoftext", "", "\u00c5ngstr\u00f6m e\u0301 \u03a3\u03a3 \u4e2d\u6587 \U0001f600\U0001f1e9", "a\u00a0b\u2028c\x1cd\u3000e", "don't WE'RE 3.14e10 --- x_y", "long " * 5000 + "<|endoftext|>", "\uac00\ub098\ub2e4 " * 300]
+    import pyarrow as pa
+
+    flat, cut = ours.batch(pa.array(odd))
+    for i, text in enumerate(odd):
+        assert flat[cut[i] : cut[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 def test_placement_is_longest_first():
     plan = packing.place({4: 2, 3: 1, 1: 3}, 4)
     assert [p[0] for p in plan] == [4, 3, 1, 1] and plan[2] == (1, 0, 1, 2, 3) and plan[3][4] == 0
@@ -342,7 +355,7 @@ def test_nearest_is_exact_in_a_group_of_copies(spark):
     books, eta = ann.build(vectors, dim)
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(ann.index(vectors, books, eta), vectors.where("id % 50 < 2"), books, k=20).collect()}
     for q in (i for i in range(3000) if i % 50 < 2):
-        s = np.einsum("nd,nd->n", x, np.broadcast_to(x[q], x.shape))
+        s = np.add.accumulate(x * x[q], axis=1)[:, -1]
         s[q] = -np.inf
         assert [got[q, r] for r in range(1, 21)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
 
@@ -365,3 +378,18 @@ def test_bloom_never_misses(spark):
     shared = bloom.build(spark.range(1000).select((F.col("id") * 7).alias("k")), 16)
     got = spark.range(7000).select("id", bloom.may_contain(shared, F.col("id")).alias("m")).where("m").collect()
     assert {r["id"] for r in got} >= {7 * i for i in range(1000)} and len(got) < 3000
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op7_nearest_vectors", "op8_repeated_passages", "op10_line_dedup"])
+def test_queries_agree_with_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, data), c.sql(queries.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.select(", ".join(columns)).fetchall())
