@@ -34,3 +34,4 @@ def test_query_agrees_with_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(sql, str) and sql.strip() for sql in entry.oracle_sql().values())
