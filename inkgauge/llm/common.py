@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,19 @@ _made: dict[str, str] = {}
 #: Rows of texts that go to a Python worker at once, unless the session sets its own number.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_MANY = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts are large rows: Spark's 10,000 in an Arrow batch would fill a worker's memory."""
+    """Whole texts are large rows: Spark's 10,000 in an Arrow batch would fill a worker's memory.
+
+    Staged tables are often small: partitions are put together by size, not spread over all cores, so that
+    no small table is many files.
+    """
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if spark.conf.get(_MANY) == "true":
+        spark.conf.set(_MANY, "false")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode (tests) where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = "file://" + tempfile.mkdtemp(prefix="inkgauge-")
