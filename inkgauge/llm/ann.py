@@ -5,8 +5,8 @@ Codebooks and codes minimise |r|^2 + (eta - 1) * (r . x / |x|)^2 of the residual
 the vector, which is what shifts large inner products, costs eta times the rest. Codebooks come
 from a bounded sample by coordinate descent; every row is coded and searched.
 
-A search takes the queries in blocks of bounded size, each broadcast with its tables. Tasks scan
-their rows' codes, two four-bit codes a byte and so one 256-entry table a byte. The best by table
+A search broadcasts the queries where they fit in one bounded block, and else deals blocks of queries
+and stretches of rows into a grid of tasks. Tasks scan their rows' codes, two four-bit codes a byte and so one 256-entry table a byte. The best by table
 sum are scored with inner products of the original vectors in double precision; their k-th score
 is a floor. Then every row is scored whose table sum plus the bound on its error, query norm times
 residual norm, reaches the floor, so the k nearest are exact, ties by smaller id. Each
@@ -16,10 +16,11 @@ task hands on at most k rows for a query, merged in two rounds of window functio
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -31,6 +32,8 @@ SUB_DIM = 2
 SAMPLE = 16_384
 #: Queries broadcast at once.
 QUERY_BLOCK = 8_192
+#: Rows that meet a block of queries in one task where queries fill several blocks.
+GRID_ROWS = 262_144
 #: Rows of a task that are scanned together, and how many of them set a query's first floor.
 SCAN_ROWS = 16_384
 RERANK = 160
@@ -42,19 +45,16 @@ EXACT_PAIRS = 32_768
 ROUNDING = 1e-5
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, vector array<double>) of the vectors that take part, and their dimension.
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, list[int]]:
+    """(id, vector array<double>) of the vectors that take part, and their dimensions, the most frequent first.
 
-    Null, empty and zero vectors and those with null or non-finite components take no part, nor do null ids; of
-    several dimensions the most frequent counts, the smaller on a tie.
+    Null, empty and zero vectors and those with null or non-finite components take no part, nor do null ids.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     found = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
     found = found.where(fine & F.exists("vector", lambda x: x != 0))
-    dims = found.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = dims["d"] if dims else 0
-    return found.where(F.size("vector") == d), d
+    return found, [r["d"] for r in found.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
 
 
 def halves(x: np.ndarray) -> np.ndarray:
@@ -217,48 +217,69 @@ def search(indexed: DataFrame, queries: DataFrame, books: np.ndarray, *, k: int
     """(query_id, rank, vec_id, score): for each row (id, vector) of queries its k nearest of indexed.
 
     Equal to brute force in double precision, ties by smaller id; rerank only decides cost. A candidate
-    with the query's id is the query's own and left out. Repeated candidate ids count as rows of their own. Fewer than k candidates give all of them; no queries give no rows.
+    with the query's id is the query's own and left out. Repeated candidate ids count as rows of their own,
+    repeated queries as one. Fewer than k candidates give all of them; no queries or no candidates give no rows.
+
+    Queries that fit in one block are broadcast and meet every row where it lies. More are dealt into
+    blocks and rows into stretches, and a task takes a cell of that grid: a row is sent once for each
+    block, and no broadcast grows with the queries.
     """
     spark = indexed.sparkSession
-    held = stage(queries.select("id", "vector").withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block))))), "queries")
-    found = None
-    for row in held.select("_block").distinct().orderBy("_block").collect():
-        got = held.where(F.col("_block") == row["_block"]).orderBy("id").toArrow()
-        ids = got.column("id").to_numpy()
-        q = got.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        shared = spark.sparkContext.broadcast((ids, q, books))
-        part = indexed.mapInArrow(_scanner(shared, k, rerank), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    held = stage(queries.select("id", "vector").dropDuplicates(["id"]), "queries")
+    blocks = -(-held.count() // block)
+    schema = "query_id long, vec_id long, score double"
+    if blocks <= 1:
+        got = held.orderBy("id").toArrow()
+        shared = spark.sparkContext.broadcast((*_arrays(got), books))
+        found = indexed.mapInArrow(lambda batches: _scanned(batches, *shared.value, k, rerank), schema)
+    else:
+        shared = spark.sparkContext.broadcast(books)
+        stretches = max(1, -(-indexed.count() // GRID_ROWS))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = held.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_stretch", upto(stretches))
+        right = indexed.withColumn("_stretch", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(stretches)).cast("int")).withColumn("_block", upto(blocks))
+
+        def cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            ids, q = _arrays(asked)
+            out = list(_scanned(iter(rows.to_batches()), ids, q, shared.value, k, rerank)) if len(ids) else []
+            return pa.Table.from_batches(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+        by = ("_block", "_stretch")
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(cell, schema)
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scanner(shared, k: int, rerank: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q, books = shared.value
-        best = None  # (number, id, score) of the best k so far for each query
-        floors = np.full(len(q), -np.inf)
-        for a in _stretches(batches):
-            ids = a.column("id").to_numpy()
-            x = a.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            packed = np.ascontiguousarray(np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T)
-            new = [np.concatenate(c) for c in zip(*((n, ids[r], s) for n, r, s in scan(ids, x, packed, a.column("reach").to_numpy(), query_ids, q, books, k, rerank, floors)), strict=True)]
-            if best is not None:
-                new = [np.concatenate(c) for c in zip(best, new, strict=True)]
-                order = np.lexsort((new[1], -new[2], new[0]))
-                number = new[0][order]
-                nth = np.arange(len(order)) - np.searchsorted(number, number)
-                new = [c[order[nth < k]] for c in new]
-            best = new
-            number, at, count = np.unique(best[0], return_index=True, return_counts=True)
-            full = count >= k
-            floors[number[full]] = best[2][at[full] + k - 1]
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and vectors as one matrix."""
+    ids = rows.column("id").to_numpy()
+    flat = rows.column("vector").combine_chunks()
+    return ids, (flat.flatten() if len(ids) else pa.array([], pa.float64())).to_numpy().reshape(len(ids), -1 if len(ids) else 0)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) of the best k of these rows for each query."""
+    if not len(query_ids):
+        return
+    best = None  # (number, id, score) of the best k so far for each query
+    floors = np.full(len(q), -np.inf)
+    for a in _stretches(batches):
+        ids = a.column("id").to_numpy()
+        x = a.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        packed = np.ascontiguousarray(np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T)
+        new = [np.concatenate(c) for c in zip(*((n, ids[r], s) for n, r, s in scan(ids, x, packed, a.column("reach").to_numpy(), query_ids, q, books, k, rerank, floors)), strict=True)]
         if best is not None:
-            yield pa.record_batch([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
-
-    return run
+            new = [np.concatenate(c) for c in zip(best, new, strict=True)]
+            order = np.lexsort((new[1], -new[2], new[0]))
+            number = new[0][order]
+            nth = np.arange(len(order)) - np.searchsorted(number, number)
+            new = [c[order[nth < k]] for c in new]
+        best = new
+        number, at, count = np.unique(best[0], return_index=True, return_counts=True)
+        full = count >= k
+        floors[number[full]] = best[2][at[full] + k - 1]
+    if best is not None:
+        yield pa.record_batch([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -275,12 +296,23 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def nearest(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each usable vector for which asked, a condition on id, holds.
+
+    A vector is compared with those of its dimension, as no others have an inner product with it; each dimension has codebooks and an index of its own.
+    """
+    found, dims = usable(vectors, id_col, vector_col)
+    parts = []
+    for dim in dims or [0]:
+        own = found.where(F.size("vector") == dim)
+        books, eta = build(own, dim)
+        parts.append(search(stage(index(own, books, eta), "index"), own.where(asked), books, k=k))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: the 20 nearest by inner product of every vector whose id 20 divides."""
-    vectors, dim = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    books, eta = build(vectors, dim)
-    indexed = stage(index(vectors, books, eta), "index")
-    return search(indexed, vectors.where("id % 20 = 0"), books)
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 #: All inner products of the queries.
