@@ -129,13 +129,12 @@ def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(columns)
     span = int(max(lengths.values(), default=0)) + 1
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(length, rank):
-        import pandas as pd
-
+    @F.arrow_udf("sequence_id long, offset long")
+    def placed(length: pa.Array, rank: pa.Array) -> pa.Array:
         size, first, _, sequence, offset = shared.value
-        at = np.searchsorted(size * span + first, length.to_numpy() * span + rank.to_numpy(), side="right") - 1
-        return pd.DataFrame({"sequence_id": sequence[at] + rank.to_numpy() - first[at], "offset": offset[at]})
+        length, rank = length.to_numpy(), rank.to_numpy()
+        at = np.searchsorted(size * span + first, length * span + rank, side="right") - 1
+        return pa.StructArray.from_arrays([pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=["sequence_id", "offset"])
 
     done = ranked.withColumn("at", placed(F.col("length"), F.col("rank")))
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))

@@ -32,7 +32,7 @@ MAX_CLEAN = 8000
 THRESHOLD = 0.7
 SHRINK = 200
 MOST_RATE = 6.0
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _GAP = " " + "\0" * (max(ORDERS) - 1) + " "
 
 
@@ -75,6 +75,7 @@ def rates(texts: list[str | None], index: np.ndarray | None) -> Iterator[tuple[i
     for first, code, starts in chunks(texts):
         keys = []
         for b in buckets(code):
+            b = b[: starts[-1]]  # grams of the gap behind the last text are nobody's
             if index is None:
                 pos, col = np.arange(len(b)), b.astype(np.int64)
             else:
@@ -213,11 +214,9 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", score_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        return pd.Series(score_texts([t if isinstance(t, str) else None for t in texts], shared.value))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(score_texts(texts.to_pylist(), shared.value), pa.float64())
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
 

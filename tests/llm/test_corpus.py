@@ -330,8 +330,9 @@ def test_nearest_against_brute_force(spark):
     x = rng.normal(size=(500, 15))
     x[7] = x[9]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(600, None), (601, [0.0] * 15), (602, [float("nan")] * 15), (603, [1.0, None]), (604, [])]
-    vectors, dim = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    assert dim == 15 and vectors.count() == 500
+    every, dims = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    vectors, dim = every, dims[0]
+    assert dims == [15] and vectors.count() == 500
     books, eta = ann.build(vectors, dim)
     got = ann.search(ann.index(vectors, books, eta), vectors.where("id % 20 = 0"), books, k=10).collect()
     hit = 0
@@ -346,20 +347,32 @@ def test_nearest_against_brute_force(spark):
     assert ann.search(ann.index(vectors, books, eta), vectors.limit(0), books).count() == 0
 
 
-def test_nearest_is_exact_in_a_group_of_copies(spark):
+def test_nearest_is_exact_in_a_group_of_copies(spark, monkeypatch):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(3000, 16))
     x[0:3000:3] = x[0]  # a third in one group: exact copies, and near ones
     x[1500:3000:3] += rng.normal(size=(500, 16)) * 1e-4
-    vectors, dim = ann.usable(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1), "vec_id", "embedding")
+    vectors, (dim,) = ann.usable(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1), "vec_id", "embedding")
     books, eta = ann.build(vectors, dim)
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(ann.index(vectors, books, eta), vectors.where("id % 50 < 2"), books, k=20).collect()}
+    asked = vectors.where("id % 50 < 2")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(ann.index(vectors, books, eta), asked, books, k=20).collect()}
+    monkeypatch.setattr(ann, "GRID_ROWS", 700)
+    grid = ann.search(ann.index(vectors.repartition(3), books, eta), asked, books, k=20, block=32)
+    assert got == {(r["query_id"], r["rank"]): r["vec_id"] for r in grid.collect()}
     for q in (i for i in range(3000) if i % 50 < 2):
         s = np.add.accumulate(x * x[q], axis=1)[:, -1]
         s[q] = -np.inf
         assert [got[q, r] for r in range(1, 21)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
 
 
+def test_nearest_in_each_dimension_and_on_empty_tables(spark):
+    rows = [(i, [1.0 + i, 2.0, float(i % 3)]) for i in range(9)] + [(20 + i, [float(i), 1.0]) for i in range(4)] + [(40, [1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("id") % 20 == 0, k=3).collect()}
+    assert got == {(0, 1): (8, 17.0 - 4), (0, 2): (7, 12.0), (0, 3): (6, 11.0), (20, 1): (21, 1.0), (20, 2): (22, 1.0), (20, 3): (23, 1.0)}
+    assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 16))
