@@ -43,6 +43,8 @@ SCAN_QUERIES = 256
 EXACT_PAIRS = 32_768
 #: What rounding in float32 tables and sums can add to an error, as a share of the norms; 64 additions stay below it.
 ROUNDING = 1e-5
+#: What the order of summing can change in double precision, as a share of the norms for each component.
+SLACK = 1e-15
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, list[int]]:
@@ -142,8 +144,16 @@ def exact(x: np.ndarray, q: np.ndarray, row: np.ndarray, number: np.ndarray) ->
     out = np.zeros(len(row))
     for a in range(0, len(row), EXACT_PAIRS):
         part = slice(a, a + EXACT_PAIRS)
-        for product in (x[row[part]] * q[number[part]]).T:
-            out[part] += product
+        out[part] = np.add.accumulate(x[row[part]] * q[number[part]], axis=1)[:, -1]
+    return out
+
+
+def near(x: np.ndarray, q: np.ndarray, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in any order of summing: SLACK of the norms from exact() at most."""
+    out = np.empty(len(row))
+    for a in range(0, len(row), EXACT_PAIRS):
+        part = slice(a, a + EXACT_PAIRS)
+        out[part] = np.einsum("pd,pd->p", x[row[part]], q[number[part]])
     return out
 
 
@@ -156,6 +166,7 @@ def scan(
     """
     keep = min(len(ids), max(rerank, k + 1))
     norms = np.linalg.norm(queries, axis=1)
+    slack = SLACK * x.shape[1] * norms * np.linalg.norm(x, axis=1).max(initial=0.0)
     for a in range(0, len(queries), SCAN_QUERIES):
         q = queries[a : a + SCAN_QUERIES]
         t = tables(q, books)
@@ -166,11 +177,11 @@ def scan(
         own = ids[None, :] == query_ids[a : a + SCAN_QUERIES, None]
         approx[own] = -np.inf
         top = np.argpartition(approx, len(ids) - keep, axis=1)[:, len(ids) - keep :] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), approx.shape)
-        first = exact(x, q, top.ravel(), np.repeat(np.arange(len(q)), keep)).reshape(top.shape)
+        first = near(x, q, top.ravel(), np.repeat(np.arange(len(q)), keep)).reshape(top.shape)
         first[np.take_along_axis(own, top, 1)] = -np.inf
         floor = floors[a : a + SCAN_QUERIES]
         if keep >= k:
-            floor = np.maximum(floor, np.partition(first, keep - k, axis=1)[:, keep - k])
+            floor = np.maximum(floor, np.partition(first, keep - k, axis=1)[:, keep - k] - slack[a : a + SCAN_QUERIES])
         number, row = [], []
         for i in range(len(q)):
             below = approx[i] + norms[a + i] * reaches < floor[i]
@@ -179,9 +190,9 @@ def scan(
             number.append(np.full(len(r), i))
             row.append(r)
         number, row = np.concatenate(number), np.concatenate(row)
+        fine = near(x, q, row, number) >= (floor - slack[a : a + SCAN_QUERIES])[number]
+        number, row = number[fine], row[fine]
         score = exact(x, q, row, number)
-        fine = score >= floor[number]
-        number, row, score = number[fine], row[fine], score[fine]
         order = np.lexsort((ids[row], -score, number))
         order = order[np.arange(len(order)) - np.searchsorted(number[order], number[order]) < k]
         yield number[order] + a, row[order], score[order]
