@@ -20,8 +20,9 @@ def _nfc(texts):
 
 
 def composed(c: Column) -> Column:
-    """NFC; ASCII texts, which it can't change, don't leave the JVM."""
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfc(c))
+    """NFC; of ASCII texts, which it can't change, only nulls go to Python (a UDF runs for all rows, whatever the branch)."""
+    ascii_ = c.rlike(r"^\p{ASCII}*$")
+    return F.when(ascii_, c).otherwise(_nfc(F.when(~ascii_, c)))
 
 
 def eval_normalized(c: Column, nfc: bool = True) -> Column:

@@ -20,7 +20,7 @@ def match_key(c: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _similarity(q: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(q, c, strict=True)])
+    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(q, c, strict=True)], dtype="float64")
 
 
 def match_score(q: Column, c: Column) -> Column:
@@ -28,7 +28,8 @@ def match_score(q: Column, c: Column) -> Column:
     a, b = F.length(q), F.length(c)
     inside = (F.contains(c, q)) | (F.contains(q, c))
     easy = F.when((a == 0) | (b == 0), 0.0).when(q == c, 1.0).when(inside, F.least(a, b) / F.greatest(a, b, F.lit(1)))
-    return F.coalesce(easy, _similarity(q, c))
+    hard = easy.isNull()  # other pairs go to the UDF as nulls, since it runs for all rows
+    return F.coalesce(easy, _similarity(F.when(hard, q), F.when(hard, c)))
 
 
 LAYOUT_LINE = "struct<text:string,page:int,source:string,bbox:struct<x:double,y:double,width:double,height:double>,x:double,y:double,width:double,height:double,page_size:struct<width:double,height:double>,page_width:double,page_height:double>"

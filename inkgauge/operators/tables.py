@@ -53,6 +53,22 @@ def merged(column: str, key: str) -> Column:
     return unique(F.flatten(F.transform(ordered, lambda s: s["v"])))
 
 
+def merged_values(rows: DataFrame, group: str, column: str, keys: tuple[str, ...]) -> DataFrame:
+    """(group, keys...): an array column's distinct values over a group, in the order of `ordinal` and place.
+
+    Values are made distinct by partial aggregation before a group's are put together, so a task holds a
+    group's distinct values, which are the result, and not its rows. Groups without values have empty arrays.
+    """
+    of = lambda k: F.transform(F.coalesce(F.col(column)[k], F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(k).alias("k"), i.alias("i"), v.alias("v")))
+    each = rows.select(F.col(group).alias("g"), "ordinal", F.explode(F.concat(*[of(k) for k in keys])).alias("x"))
+    first = each.groupBy("g", "x.k", "x.v").agg(F.min(F.struct("ordinal", "x.i")).alias("first"))
+    ordered = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("first", "v")))), lambda s: s["v"]).alias(k)
+    found = first.groupBy("g").agg(*[ordered(k) for k in keys])
+    every = rows.select(group).distinct()
+    none = F.array().cast("array<string>")
+    return every.join(found, every[group].eqNullSafe(found["g"]), "left").select(group, *[F.coalesce(k, none).alias(k) for k in keys])
+
+
 def table_summary(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each document: counts, best table and why, merged patterns, warnings."""
     best = first_by(results, [key], F.desc("table_priority_score"), "ordinal").select(key, F.col("table_id").alias("best_table_id"), F.col("patterns").alias("_p"))

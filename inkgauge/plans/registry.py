@@ -207,7 +207,7 @@ def reference_metrics(spark, sf_dir):
 
 def pattern_merge(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ordinal"), patterns.table_patterns(F.coalesce("text", F.lit(""))).alias("patterns"))
-    return d.groupBy("source").agg(*[_joined(F.array_sort(tables.merged("patterns", k))).alias(k) for k in ("urls", "dates")])
+    return tables.merged_values(d, "source", "patterns", ("urls", "dates")).select("source", *[_joined(F.array_sort(F.col(k))).alias(k) for k in ("urls", "dates")])
 
 
 def word_lines(spark, sf_dir):

@@ -10,7 +10,7 @@ from inkgauge.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-QUICK = ["text_profile", "line_dedup", "line_quality", "urls", "table_dates", "suspicious_phones", "run_islands", "tolerance_dedup", "grids", "box_iou", "word_lines", "line_accuracy", "gate_decision"]
+QUICK = ["text_profile", "line_dedup", "line_quality", "urls", "table_dates", "suspicious_phones", "run_islands", "tolerance_dedup", "grids", "box_iou", "word_lines", "line_accuracy", "gate_decision", "pattern_merge", "cer_ascii"]
 
 
 @pytest.fixture(scope="module")
