@@ -21,19 +21,39 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
 
 
-def result_variants(found: DataFrame, texts_: DataFrame) -> DataFrame:
-    """(path, ordinal, name, status, text_path, text) of documents' and tables' OCR texts in order.
+def path_key(path: Column) -> Column:
+    """A path without scheme and authority and without steps that stay in place; '..' stays as it is."""
+    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"(?<=^|/)(\./)+|/+(?=/)", "")
 
-    texts_ are (path, text); a text path is matched by its end, and missing texts are empty.
+
+def places(base: Column, path: Column, cwd: str | None = None) -> Column:
+    """Where a path found in a document of folder `base` may lie, in the order of trial.
+
+    An absolute path lies there alone; a relative one under cwd, if given, under the folder, and
+    under each folder above it but the root.
+    """
+    parts = F.split(base, "/")
+    above = F.when(F.size(parts) >= 2, F.transform(F.sequence(F.size(parts), F.lit(2), F.lit(-1)), lambda i: F.concat_ws("/", F.array_join(F.slice(parts, 1, i), "/"), path))).otherwise(F.array().cast("array<string>"))
+    first = F.array(F.concat(F.lit(cwd.rstrip("/") + "/"), path)) if cwd else F.array().cast("array<string>")
+    return F.when(path.startswith("/"), F.array(path)).otherwise(F.concat(first, above))
+
+
+def result_variants(found: DataFrame, texts_: DataFrame, cwd: str | None = None) -> DataFrame:
+    """(path, o, name, status, text_path, text) of documents' and tables' OCR texts, o being their order.
+
+    texts_ are (path, text). A text path is resolved from its result document's own folder, see places(), and met by
+    equality; the first place that has a text counts, and a text that is nowhere is empty.
     """
     docs = found.select("path", F.posexplode("ocr_results").alias("n", "r")).select("path", F.struct(F.lit(0).alias("a"), "n", F.lit(0).alias("m")).alias("o"), "r.name", "r.status", "r.text_path")
     tables = found.select("path", F.posexplode("tables").alias("n", "t")).select("path", "n", "t.table_id", F.posexplode(F.map_entries("t.ocr_variants")).alias("m", "v"))
     tables = tables.select("path", F.struct(F.lit(1).alias("a"), "n", "m").alias("o"), F.concat_ws("_", "table_id", "v.key").alias("name"), "v.value.status", "v.value.text_path")
     every = docs.unionByName(tables).where("text_path is not null and text_path <> ''")
-    tail = F.substring_index("text_path", "/", -1)
-    named = texts_.select(F.substring_index("path", "/", -1).alias("_file"), F.col("path").alias("_path"), "text")
-    joined = every.join(named, (tail == F.col("_file")) & F.endswith(F.col("_path"), F.regexp_replace("text_path", r"^\./", "")), "left")
-    return joined.select("path", "o", "name", "status", "text_path", F.coalesce("text", F.lit("")).alias("text"))
+    base = F.regexp_replace(path_key(F.col("path")), "/[^/]*$", "")
+    tried = every.select("path", "o", "name", "status", "text_path", F.posexplode_outer(places(base, path_key(F.col("text_path")), cwd)).alias("rank", "key"))
+    named = texts_.groupBy(path_key(F.col("path")).alias("key")).agg(F.min("text").alias("text"))
+    met = tried.join(named, "key", "left").groupBy("path", "o", "name", "status", "text_path")
+    best = met.agg(F.min(F.when(F.col("text").isNotNull(), F.struct("rank", "text"))).alias("best"))
+    return best.select("path", "o", "name", "status", "text_path", F.coalesce("best.text", F.lit("")).alias("text"))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 PATTERNS5 = "struct<urls:array<string>,phones:array<string>,dates:array<string>,times:array<string>,amounts:array<string>>"
 BOX = "struct<x:double,y:double,width:double,height:double>"
 VARIANT = f"struct<text_path:string,patterns:{PATTERNS5},score:double,text_length:int,status:string,error:string>"
@@ -22,8 +20,8 @@ SUMMARY = (
     "struct<detected_count:int,candidate_count:int,best_table_id:string,best_table_reason:string,found_urls:array<string>,found_phones:array<string>,found_dates:array<string>,"
     "found_times:array<string>,found_amounts:array<string>,warnings:array<string>>"
 )
-#: One result document of an OCR experiment.
-RESULT = T.StructType.fromDDL(
+#: One result document of an OCR experiment, as DDL: parsing it here would need a running session.
+RESULT = (
     "schema_version string, created_at string, input struct<path:string,file_name:string>, experiment_dir string, ocr_engine struct<name:string,lang:string>,"
     "ocr_results array<struct<name:string,status:string,debug_image_path:string,text_path:string,text_length:int,error:string>>,"
     f"tables array<{TABLE}>, table_summary {SUMMARY}, warnings array<string>, cautions array<string>, todo array<string>"
