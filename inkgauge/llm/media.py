@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import fresh, table
-from inkgauge.llm.webp import MOST_SIDE, BadImage, decode, encode_plain
+from inkgauge.llm.webp import decode_many
+from inkgauge.llm.webp_write import encode
 
 #: Samples of a payload row: 16 pixels of four channels.
 ROW = 64
+#: Rows of one file: its pixels go in step with other files', so long texts become many files.
+ROWS = 64
 #: Bytes of media that one output batch holds before it is sent on.
 BATCH_BYTES = 4 << 20
 
@@ -27,9 +30,9 @@ def payload(text: str | None) -> bytes:
 
 
 def images(samples: bytes) -> bytes:
-    """WebP files one after another, each 16 pixels wide and as high as the format allows."""
+    """WebP files one after another, each 16 pixels wide and ROWS high at most."""
     found = np.frombuffer(samples, np.uint8)
-    return b"".join(encode_plain(found[a : a + ROW * MOST_SIDE].reshape(-1, ROW // 4, 4)) for a in range(0, len(found), ROW * MOST_SIDE))
+    return b"".join(encode(found[a : a + ROW * ROWS].reshape(-1, ROW // 4, 4)) for a in range(0, len(found), ROW * ROWS))
 
 
 def files(media: bytes) -> Iterator[bytes]:
@@ -99,24 +102,39 @@ def decode_media(df: DataFrame, *, media_col: str = "media", pixels: bool = True
     keep = [c for c in df.columns if c not in new and (pixels or c != media_col)]
     (inner,) = fresh(df.select(*keep), "_media")
 
-    def read(media: bytes | None) -> dict:
+    def row(media: bytes | None, found: list) -> dict:
         out = dict.fromkeys(new)
         if media is None:
             return out | {"media_error": "null"}
-        try:
-            found = [decode(f) for f in files(media)]
-            image = found[0] if len(found) == 1 else np.concatenate(found)
-        except (BadImage, ValueError, IndexError) as e:
-            return out | {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "media_error": str(e)}
+        out |= {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
+        wrong = [x for x in found if isinstance(x, Exception)]
+        if wrong or not found or len({x.shape[1] for x in found}) > 1:
+            return out | {"media_error": str(wrong[0]) if wrong else "files of several widths" if found else "no file"}
+        image = found[0] if len(found) == 1 else np.concatenate(found)
         raw = image.tobytes()
         out |= {"width": image.shape[1], "height": image.shape[0], "samples_sha256": hashlib.sha256(raw).hexdigest(), "samples_tail_crc32": zlib.crc32(raw[-ROW:])}
-        out |= {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(image)}
-        return out | ({"pixels": raw} if pixels else {})
+        return out | {"feature": feature(image)} | ({"pixels": raw} if pixels else {})
+
+    def read(rows: list[tuple[int, bytes | None]]) -> Iterator[tuple[int, dict]]:
+        """All files of some rows are decoded together."""
+        split = [list(files(media)) if media is not None else [] for _, media in rows]
+        decoded = iter(decode_many([f for found in split for f in found]))
+        for (i, media), found in zip(rows, split, strict=True):
+            yield i, row(media, [next(decoded) for _ in found])
+
+    def together(column) -> Iterator[tuple[int, dict]]:
+        rows, size = [], 0
+        for i, scalar in enumerate(column):
+            rows.append((i, scalar.as_py()))
+            size += len(rows[-1][1] or b"")
+            if size > BATCH_BYTES:
+                yield from read(rows)
+                rows, size = [], 0
+        yield from read(rows)
 
     def run(batches):
         for batch in batches:
-            rows = ((i, read(x.as_py())) for i, x in enumerate(batch.column(inner)))
-            yield from _batched(rows, batch, new, keep)
+            yield from _batched(together(batch.column(inner)), batch, new, keep)
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     chosen = df.select(*keep, F.col(media_col).alias(inner))

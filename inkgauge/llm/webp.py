@@ -1,14 +1,15 @@
 """Lossless WebP (VP8L) in NumPy: a whole decoder, and a writer for plain samples.
 
 The decoder reads prefix codes (simple and normal), meta prefix groups, back-references with the
-two-dimensional distance codes, the colour cache, and inverts all four transforms. Images whose
-pixels are literals under prefix codes of 0 or 8 bits each take a path without a loop over pixels;
-everything else goes pixel by pixel.
+two-dimensional distance codes, the colour cache, and inverts all four transforms. One image goes
+pixel by pixel; many small ones go in step, the k-th pixel of all of them at once (decode_many).
+Images whose pixels are literals under prefix codes of 0 or 8 bits each need no loop over pixels.
 """
 
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,12 @@ DISTANCES = (
 CACHE_MULTIPLIER = 0x1E35A7BD
 LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
 MOST_SIDE = 1 << 14
+#: Groups of codes that are kept to be met again.
+MOST_KNOWN = 64
+#: Images that go in step: pixels at most, bits of a code at most (four codes are read from 57 bits), images at least.
+STEP_PIXELS, STEP_BITS, STEP_IMAGES = 4096, 14, 16
+
+_known: dict[tuple[int, int], list] = {}
 
 REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, bitorder="little")[:, 0]
 
@@ -54,7 +61,7 @@ class Code:
 
     def __init__(self, lengths: tuple[int, ...]):
         used = [s for s, n in enumerate(lengths) if n]
-        self.only = None
+        self.only, self.words = None, None
         self.plain = set(lengths[:LITERALS]) == {8} and not any(lengths[LITERALS:])
         if len(used) <= 1:
             self.only, self.most = (used or [0])[0], 0
@@ -73,6 +80,12 @@ class Code:
             code <<= 1
         self.symbols, self.bits = self.symbols.tolist(), self.bits.tolist()
 
+    def table(self) -> np.ndarray:
+        """Symbol and, from bit 16, its bits for each value of the next `most` bits."""
+        if self.words is None:
+            self.words = np.array([self.only], np.uint64) if self.only is not None else np.array(self.symbols, np.uint64) | np.array(self.bits, np.uint64) << np.uint64(16)
+        return self.words
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -137,8 +150,36 @@ def blocks(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """Pixels as ARGB words, before the transforms are inverted."""
+@dataclass
+class Head:
+    """What stands before an image's pixels: colour cache, prefix groups and their codes."""
+
+    cache_bits: int
+    groups: list[list[int]] | None
+    group_bits: int
+    codes: list[list[Code]]
+
+
+def read_codes(bits: Bits, cache_bits: int, n: int) -> list[list[Code]]:
+    """n groups of five codes. Writers repeat themselves: the last single groups read are met again by their bits."""
+    sizes = (LITERALS + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
+    if n > 1:
+        return [[read_code(bits, s) for s in sizes] for _ in range(n)]
+    a = bits.at
+    word = lambda k: int.from_bytes(bits.data[a >> 3 : (a + k + 7) >> 3], "little") >> (a & 7) & ((1 << k) - 1)
+    key = (cache_bits, word(64))
+    for k, value, codes in _known.get(key, ()):
+        if a + k <= bits.end and word(k) == value:
+            bits.at = a + k
+            return codes
+    codes = [[read_code(bits, s) for s in sizes]]
+    if len(_known) >= MOST_KNOWN:
+        _known.clear()
+    _known[key] = [(bits.at - a, word(bits.at - a), codes), *_known.get(key, ())[:3]]
+    return codes
+
+
+def read_head(bits: Bits, width: int, height: int, main: bool) -> Head:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise BadImage("the colour cache is too large")
@@ -146,8 +187,16 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if main and bits.read(1):
         group_bits = bits.read(3) + 2
         groups = (read_pixels(bits, blocks(width, group_bits), blocks(height, group_bits), False) >> 8 & 0xFFFF).reshape(blocks(height, group_bits), -1).tolist()
-    sizes = (LITERALS + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(1 + max(map(max, groups)) if groups else 1)]
+    return Head(cache_bits, groups, group_bits, read_codes(bits, cache_bits, 1 + max(map(max, groups)) if groups else 1))
+
+
+def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """Pixels as ARGB words, before the transforms are inverted."""
+    return read_body(bits, width, height, read_head(bits, width, height, main))
+
+
+def read_body(bits: Bits, width: int, height: int, head: Head) -> np.ndarray:
+    cache_bits, groups, group_bits, codes = head.cache_bits, head.groups, head.group_bits, head.codes
     count = width * height
     if groups is None and not cache_bits and (plain := read_plain(bits, codes[0], count)) is not None:
         return plain
@@ -242,13 +291,13 @@ def predicted(mode: int, left, top, right, corner):
         return half(half(left, corner), half(top, right))
     if mode == 11:
         near = left + top - corner
-        return left if np.abs(near - left).sum() < np.abs(near - top).sum() else top
+        return np.where(np.abs(near - left).sum(-1, keepdims=True) < np.abs(near - top).sum(-1, keepdims=True), left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
         mean = half(left, top)
         return np.clip(mean + ((mean - corner) / 2).astype(np.int32), 0, 255)
-    return np.array([255, 0, 0, 0], np.int32)
+    return np.broadcast_to(np.array([255, 0, 0, 0], np.int32), left.shape)
 
 
 def add_predictions(argb: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
@@ -256,12 +305,16 @@ def add_predictions(argb: np.ndarray, width: int, height: int, modes: np.ndarray
     modes = (modes >> 8 & 0xF).reshape(blocks(height, bits), -1)
     c[0] = c[0] + [255, 0, 0, 0] & 0xFF
     c[:width] = np.cumsum(c[:width], 0) & 0xFF
-    for y in range(1, height):
-        a = y * width
-        c[a] = c[a] + c[a - width] & 0xFF
-        for x in range(1, width):
-            k = a + x
-            c[k] = c[k] + predicted(int(modes[y >> bits, x >> bits]), c[k - 1], c[k - width], c[k - width + 1], c[k - width - 1]) & 0xFF
+    c[::width] = np.cumsum(c[::width], 0) & 0xFF
+    # A pixel needs its left, top-left, top and top-right ones (the last pixel's is the first of its own row): those with
+    # the same x + 2y don't need each other.
+    for t in range(3, width + 2 * height - 2) if width > 1 else ():
+        y = np.arange(max(1, (t - width + 2) // 2), min(height - 1, (t - 1) // 2) + 1)
+        x = t - 2 * y
+        k, mode = y * width + x, modes[y >> bits, x >> bits]
+        for m in np.unique(mode):
+            at = k[mode == m]
+            c[at] = c[at] + predicted(int(m), c[at - 1], c[at - width], c[at - width + 1], c[at - width - 1]) & 0xFF
     return words(c)
 
 
@@ -301,8 +354,32 @@ def unpack_palette(argb: np.ndarray, width: int, height: int, palette: np.ndarra
     return full[index].reshape(-1)
 
 
-def decode_stream(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) RGBA of a VP8L chunk."""
+@dataclass
+class Opened:
+    """A VP8L chunk read up to its main image."""
+
+    bits: Bits
+    width: int
+    height: int
+    now: int
+    undo: list[tuple]
+
+    def finish(self, argb: np.ndarray) -> np.ndarray:
+        """Pixels (height, width, 4) RGBA of the main image's words."""
+        for kind, wide, image, size in reversed(self.undo):
+            if kind == 0:
+                argb = add_predictions(argb, wide, self.height, image, size)
+            elif kind == 1:
+                argb = cross_colour(argb, wide, self.height, image, size)
+            elif kind == 2:
+                argb = add_green(argb)
+            else:
+                argb = unpack_palette(argb, wide, self.height, image, size)
+        little = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(self.height, self.width, 4)
+        return little[:, :, [2, 1, 0, 3]]
+
+
+def open_stream(data: bytes) -> Opened:
     if data[:1] != b"\x2f":
         raise BadImage("no VP8L signature")
     bits = Bits(data)
@@ -326,33 +403,146 @@ def decode_stream(data: bytes) -> np.ndarray:
             palette = words(np.cumsum(channels(read_pixels(bits, n, 1, False)), 0))
             undo.append((kind, now, palette, bundle_bits(n)))
             now = blocks(now, bundle_bits(n))
-    argb = read_pixels(bits, now, height, True)
-    for kind, wide, image, size in reversed(undo):
-        if kind == 0:
-            argb = add_predictions(argb, wide, height, image, size)
-        elif kind == 1:
-            argb = cross_colour(argb, wide, height, image, size)
-        elif kind == 2:
-            argb = add_green(argb)
-        else:
-            argb = unpack_palette(argb, wide, height, image, size)
-    little = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(height, width, 4)
-    return little[:, :, [2, 1, 0, 3]]
+    return Opened(bits, width, height, now, undo)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) RGBA of a WebP file with one lossless image."""
+def chunk(data: bytes) -> bytes:
+    """The VP8L chunk of a WebP file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise BadImage("no WebP container")
     at, end = 12, 8 + struct.unpack_from("<I", data, 4)[0]
     while at + 8 <= min(end, len(data)):
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"VP8L":
-            return decode_stream(data[at + 8 : at + 8 + size])
+            return data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise BadImage("no VP8L chunk")
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) RGBA of a WebP file with one lossless image."""
+    image = open_stream(chunk(data))
+    return image.finish(read_pixels(image.bits, image.now, image.height, True))
+
+
+def decode_many(found: list[bytes]) -> list[np.ndarray | Exception]:
+    """decode() of each file, or the error it raises; small images with one group of codes go in step."""
+    out: list = [None] * len(found)
+    lanes = []
+    for i, data in enumerate(found):
+        try:
+            image = open_stream(chunk(data))
+            head = read_head(image.bits, image.now, image.height, True)
+            if head.groups is None and image.now * image.height <= STEP_PIXELS and all((c.most <= STEP_BITS) for c in head.codes[0]):
+                lanes.append((i, image, head))
+            else:
+                out[i] = image.finish(read_body(image.bits, image.now, image.height, head))
+        except (BadImage, ValueError, IndexError, struct.error) as e:
+            out[i] = e
+    if len(lanes) >= STEP_IMAGES:
+        lanes.sort(key=lambda lane: -lane[1].now * lane[1].height)
+        bodies = read_in_step([lane[1:] for lane in lanes])
+    else:
+        bodies = [None] * len(lanes)
+    for (i, image, head), argb in zip(lanes, bodies, strict=True):
+        try:
+            if argb is None:
+                argb = read_body(image.bits, image.now, image.height, head)
+            out[i] = argb if isinstance(argb, Exception) else image.finish(argb)
+        except (BadImage, ValueError, IndexError) as e:
+            out[i] = e
+    return out
+
+
+def numbers(prefix: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """read_number for many: values and their extra bits, taken from the low bits of v."""
+    extra = np.maximum(prefix.astype(np.int64) - 2, 0) >> 1
+    e = extra.astype(np.uint64)
+    high = np.where(prefix < 4, prefix, (np.uint64(2) + (prefix & np.uint64(1))) << e)
+    return (high + (v & ((np.uint64(1) << e) - np.uint64(1)))).astype(np.int64) + 1, e
+
+
+def read_in_step(lanes: list[tuple[Opened, Head]]) -> list[np.ndarray | Exception]:
+    """The main images' words, largest first in lanes: the k-th pixel of every image is read at once."""
+    u = np.uint64
+    counts = np.array([i.now * i.height for i, _ in lanes])
+    wide = np.array([i.now for i, _ in lanes])
+    sizes = np.array([len(i.bits.data) for i, _ in lanes])
+    base = np.cumsum(sizes) - sizes
+    flat = b"".join(i.bits.data for i, _ in lanes) + b"\0" * 8
+    words_at = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+    pos = base * 8 + np.array([i.bits.at for i, _ in lanes])
+    end = base * 8 + np.array([i.bits.end for i, _ in lanes])
+    tables, start, total = [], {}, 0
+    for _, head in lanes:
+        for code in head.codes[0]:
+            if id(code) not in start:
+                start[id(code)] = total
+                tables.append(code.table())
+                total += len(tables[-1])
+    table = np.concatenate(tables)
+    off = np.array([[start[id(c)] for c in h.codes[0]] for _, h in lanes], np.uint64).T.copy()
+    mask = np.array([[(1 << c.most) - 1 for c in h.codes[0]] for _, h in lanes], np.uint64).T.copy()
+    shift = np.array([32 - h.cache_bits for _, h in lanes], np.uint64)
+    cache = np.zeros((len(lanes), 1 << max(h.cache_bits for _, h in lanes)), np.uint32)
+    xs, ys = (np.array(d) for d in zip(*DISTANCES, strict=True))
+    out = np.zeros((int(counts[0]), len(lanes)), np.uint32)
+    left, back, broken = np.zeros(len(lanes), np.int64), np.ones(len(lanes), np.int64), np.zeros(len(lanes), bool)
+    lane = np.arange(len(lanes))
+    active = np.searchsorted(-counts, -np.arange(int(counts[0])), "left")
+    low, sixteen = u(0xFFFF), u(16)
+    for k in range(int(counts[0])):
+        m = int(active[k])
+        p = np.minimum(pos[:m], len(flat) * 8 - 64)
+        v = words_at[p >> 3] >> (p & 7).astype(np.uint64)
+        entry = table[off[0, :m] + (v & mask[0, :m])]
+        s, n = entry & low, entry >> sixteen
+        v = v >> n
+        first, px = n, None
+        for channel, place in ((1, 16), (2, 0), (3, 24)):
+            entry = table[off[channel, :m] + (v & mask[channel, :m])]
+            bits = entry >> sixteen
+            v = v >> bits
+            n = n + bits
+            part = (entry & low) << u(place)
+            px = part if px is None else px | part
+        px = (px | s << u(8)).astype(np.uint32)
+        other = np.flatnonzero((s >= LITERALS) | (left[:m] > 0))
+        if len(other):
+            going = left[other] > 0
+            fresh = other[~going]
+            sym = s[fresh]
+            n[other[going]] = 0
+            n[fresh] = first[fresh]
+            kept = sym >= LITERALS + LENGTH_CODES
+            hit = fresh[kept]
+            px[hit] = cache[hit, (sym[kept] - u(LITERALS + LENGTH_CODES)).astype(np.int64)]
+            copy = fresh[~kept]
+            if len(copy):
+                c = np.minimum(pos[copy], len(flat) * 8 - 64)
+                rest = words_at[c >> 3] >> (c & 7).astype(np.uint64) >> first[copy]
+                length, e1 = numbers(sym[~kept] - u(LITERALS), rest)
+                rest = rest >> e1
+                entry = table[off[4, copy] + (rest & mask[4, copy])]
+                e2 = entry >> sixteen
+                distance, e3 = numbers(entry & low, rest >> e2)
+                n[copy] += e1 + e2 + e3
+                near = distance <= len(DISTANCES)
+                d = np.where(near, distance, 1) - 1
+                distance = np.where(near, np.maximum(1, xs[d] + ys[d] * wide[copy]), distance - len(DISTANCES))
+                bad = (distance > k) | (k + length > counts[copy])
+                broken[copy] |= bad
+                back[copy], left[copy] = np.where(bad, 0, distance), np.where(bad, 1, length)
+            copying = other[left[other] > 0]
+            px[copying] = out[k - back[copying], copying]
+            left[copying] -= 1
+        out[k, :m] = px
+        cache[lane[:m], (px.astype(np.uint64) * u(CACHE_MULTIPLIER) & u(0xFFFFFFFF)) >> shift[:m]] = px
+        pos[:m] += n.astype(np.int64)
+    broken |= pos > end
+    return [BadImage("a broken stream") if broken[i] else out[: counts[i], i] for i in lane]
+
+
 class Writer:
     """Bits, least significant first."""
 
@@ -367,46 +557,6 @@ class Writer:
         return self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
-@lru_cache(maxsize=64)
-def plain_header(width: int, height: int) -> Writer:
-    """Everything before the pixels: no transforms, no cache, 8-bit codes for all four channels."""
-    w = Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        w.put(value, n)
-    for channel in range(4):
-        w.put(0, 1)
-        last = LENGTH_ORDER.index(8)
-        w.put(last + 1 - 4, 4)
-        for k in range(last + 1):
-            w.put(int(k == last), 3)
-        if channel == 0:  # lengths for the literals alone: 256 = 2 + an 8-bit number
-            w.put(1, 1)
-            w.put(3, 3)
-            w.put(LITERALS - 2, 8)
-        else:
-            w.put(0, 1)
-    w.put(1, 1)  # the distance code: one symbol, 0
-    w.put(0, 3)
-    return w
-
-
 def container(stream: bytes) -> bytes:
     body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
-
-
-def encode_plain(rgba: np.ndarray) -> bytes:
-    """A WebP file of pixels (height, width, 4) RGBA, each sample an 8-bit literal."""
-    height, width = rgba.shape[:2]
-    head = plain_header(width, height)
-    body = REVERSED[rgba.reshape(-1, 4)[:, [1, 0, 2, 3]].reshape(-1)]
-    whole, shift = head.n >> 3, head.n & 7
-    first = head.done()
-    out = np.zeros(whole + len(body) + 1, np.uint8)
-    out[: len(first)] = np.frombuffer(first, np.uint8)
-    if shift:
-        out[whole : whole + len(body)] |= body << shift
-        out[whole + 1 :] |= body >> (8 - shift)
-    else:
-        out[whole : whole + len(body)] = body
-    return container(out[: (head.n + 8 * len(body) + 7) >> 3].tobytes())

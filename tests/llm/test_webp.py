@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from inkgauge.llm import media, webp
+from inkgauge.llm import media, webp, webp_write
 from tests.llm.webp_writer import encode
 
 
@@ -26,9 +26,64 @@ def test_palettes(colours):
     assert (webp.decode(encode(image, "i")) == image).all()
 
 
-def test_plain_equals_general():
-    image = picture(256)
-    assert (webp.decode(webp.encode_plain(image)) == image).all()
+def samples(kind: str, n: int = 4096) -> np.ndarray:
+    rng = np.random.default_rng(7)
+    noise = rng.integers(0, 256, n, dtype=np.uint8)
+    made = {
+        "noise": noise, "zeros": noise * 0, "text": np.frombuffer(("the cat sat on the mat; " * n).encode()[:n], np.uint8),
+        "ramp": np.repeat(np.arange(n // 4), 4).astype(np.uint8), "few": noise[:64][np.repeat(rng.integers(0, 8, n // 4), 4) * 4 + np.tile(np.arange(4), n // 4)],
+        "walk": np.cumsum(rng.integers(-2, 3, (n // 4, 4)), 0).astype(np.uint8).reshape(-1), "wide": np.frombuffer(("한국어 본문 é " * n).encode()[:n], np.uint8),
+        "grey": np.repeat(noise[: n // 4], 4),
+    }
+    return made[kind]
+
+
+KINDS = ("noise", "zeros", "text", "ramp", "few", "walk", "wide", "grey")
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("rows", [1, 2, 17, 64])
+def test_writer_round_trip(kind, rows):
+    image = samples(kind)[: rows * 64].reshape(-1, 16, 4)
+    assert (webp.decode(webp_write.encode(image)) == image).all()
+
+
+def test_writer_uses_every_transform():
+    kinds = set()
+    for kind in KINDS:
+        kinds |= {u[0] for u in webp.open_stream(webp.chunk(webp_write.encode(samples(kind).reshape(-1, 16, 4)))).undo}
+    assert kinds == {0, 1, 3}
+
+
+def test_files_in_step_equal_files_alone():
+    images = [samples(k)[: 64 * rows].reshape(-1, 16, 4) for k in KINDS for rows in (1, 5, 33, 64)]
+    found = [webp_write.encode(x) for x in images]
+    for transforms in ("", "p", "c", "g", "i", "pcg"):  # other writers: other caches, widths, groups
+        for options in ({}, {"cache_bits": 11, "matches": True}, {"group_bits": 3, "matches": True}):
+            images.append(picture(200 if transforms != "i" else 13))
+            found.append(encode(images[-1], transforms, **options))
+    broken = found[0][:20] + found[0][20 : len(found[0]) // 2]
+    got = webp.decode_many([*found, broken, b"nothing"])
+    assert len(found) > webp.STEP_IMAGES and all((a == b).all() for a, b in zip(got, images, strict=False))
+    assert all(isinstance(x, Exception) for x in got[len(found) :])
+    alone = webp.decode_many(found[:3])
+    assert all((a == b).all() for a, b in zip(alone, images, strict=False))
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_predictions_by_wavefront(mode):
+    rng = np.random.default_rng(mode)
+    h, w = 9, 11
+    argb = rng.integers(0, 2**32, h * w, dtype=np.uint32)
+    got = webp.channels(webp.add_predictions(argb, w, h, np.full(9, mode << 8, np.uint32), 2)).reshape(h, w, 4)
+    want = webp.channels(argb).reshape(h, w, 4).copy()
+    for y in range(h):
+        for x in range(w):
+            k = want.reshape(-1, 4)
+            i = y * w + x
+            p = np.array([255, 0, 0, 0]) if not i else k[i - 1] if not y else k[i - w] if not x else webp.predicted(mode, k[i - 1], k[i - w], k[i - w + 1], k[i - w - 1])
+            k[i] = k[i] + p & 0xFF
+    assert (got == want).all()
 
 
 @pytest.mark.parametrize("cut", [0, 5, 20, 40, 200])

@@ -2,108 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 
 import numpy as np
 
 from inkgauge.llm import webp
-from inkgauge.llm.webp import CACHE_MULTIPLIER, DISTANCE_CODES, LENGTH_ORDER, Writer, add_green, blocks, bundle_bits, channels, container, cross_colour, predicted, words
-
-
-def lengths_of(counts: Counter, size: int, most: int = 15) -> list[int]:
-    """Code lengths by Huffman, flattened until none is over most."""
-    out = [0] * size
-    if len(counts) <= 1:
-        for s in counts:
-            out[s] = 1
-        return out
-    weight = dict(counts)
-    while True:
-        heap = [(n, i, (s,)) for i, (s, n) in enumerate(sorted(weight.items()))]
-        heapq.heapify(heap)
-        depth, k = Counter(), len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], k, a[2] + b[2]))
-            k += 1
-        if max(depth.values()) <= most:
-            for s, d in depth.items():
-                out[s] = d
-            return out
-        weight = {s: n // 2 + 1 for s, n in weight.items()}
-
-
-def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1:
-        return {used[0]: (0, 0)}
-    code, out = 0, {}
-    for n in range(1, 16):
-        for s in used:
-            if lengths[s] == n:
-                out[s] = (int(format(code, f"0{n}b")[::-1], 2), n)
-                code += 1
-        code <<= 1
-    return out
-
-
-def put_code(w: Writer, lengths: list[int]) -> dict:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and max(used, default=0) < 256:
-        used = used or [0]
-        w.put(1, 1)
-        w.put(len(used) - 1, 1)
-        wide = used[0] > 1
-        w.put(int(wide), 1)
-        w.put(used[0], 8 if wide else 1)
-        if len(used) == 2:
-            w.put(used[1], 8)
-            return {used[0]: (0, 1), used[1]: (1, 1)}
-        return {used[0]: (0, 0)}
-    w.put(0, 1)
-    runs, i, last = [], 0, 8
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
-            j += 1
-        n, v = j - i, lengths[i]
-        if v == 0 and n >= 3:
-            k = min(n, 138)
-            runs.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
-            i += k
-        elif v and v == last and n >= 3:
-            k = min(n, 6)
-            runs.append((16, k - 3, 2))
-            i += k
-        else:
-            runs.append((v, 0, 0))
-            last = v or last
-            i += 1
-    order = lengths_of(Counter(r[0] for r in runs), 19, 7)
-    n = max(k + 1 for k, s in enumerate(LENGTH_ORDER) if order[s])
-    n = max(n, 4)
-    w.put(n - 4, 4)
-    for s in LENGTH_ORDER[:n]:
-        w.put(order[s], 3)
-    w.put(0, 1)
-    code = codes_of(order)
-    for s, extra, bits in runs:
-        w.put(*code[s])
-        w.put(extra, bits)
-    return codes_of(lengths)
-
-
-def number(value: int) -> tuple[int, int, int]:
-    """(prefix, extra bits, extra) of a length or distance code."""
-    if value <= 4:
-        return value - 1, 0, 0
-    v = value - 1
-    high = v.bit_length() - 1
-    second = v >> (high - 1) & 1
-    return 2 * high + second, high - 1, v - ((2 + second) << (high - 1))
+from inkgauge.llm.webp import CACHE_MULTIPLIER, DISTANCE_CODES, Writer, add_green, blocks, bundle_bits, channels, container, cross_colour, predicted, words
+from inkgauge.llm.webp_write import lengths_of, number, put_code
 
 
 def symbols_of(argb: list[int], width: int, cache_bits: int, matches: bool) -> list[tuple]:
