@@ -101,3 +101,13 @@ FALLBACK_NAMES = ("adaptive_threshold", "contrast_enhanced", "sharpened", "warpe
 KERNEL_RATIOS, LINE_FRACTIONS = (3, 5, 8), (0.40, 0.30, 0.20)
 GRIDS = ((2.5, ((2, 2), (2, 3), (3, 4), (4, 4), (3, 3))), (1.2, ((3, 3), (3, 4), (4, 3), (4, 4))), (0.8, ((3, 2), (3, 3), (2, 3))), (None, ((4, 2), (3, 2), (5, 2))))
 MOST_GRID_CELLS, MOST_CELLS, LEAST_CELL = 20, 30, 20
+# Texts of result documents.
+ENGINE = "pytesseract"
+ROTATION_FAILED = "Rotation OCR failed; original orientation was used."
+ROTATION_USELESS = "Rotation scores were not useful; original orientation was used."
+ROTATION_BEST = "Best rotation selected by quick OCR scoring."
+CAUTIONS = (
+    "OCR text is an experiment artifact, not ground truth.",
+    "Do not use OCR output directly as training data without human review.",
+)
+TODO = ("PDF input handling", "Table crop improvement", "CER/WER evaluation")
