@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkgauge.functions import edit, fixed, geometry, patterns, text
-from inkgauge.operators import highlights, layout, tables
+from inkgauge.operators import cells, highlights, layout, tables
 from inkgauge.operators.lines import line_duplicates, line_islands, longest_first
 from inkgauge.plans import fixtures, gate, sql
 
@@ -300,9 +300,18 @@ def cell_limit(spark, sf_dir):
     """Cells in row-major order: tiny ones skipped, the first 30 kept with their zoom."""
     li = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("w"), (F.col("l_tax") * 1000).alias("h"))
     n = F.row_number().over(W.partitionBy("table_id").orderBy("row", "col", "w", "h"))
-    zoom = F.greatest(F.lit(2.0), F.least(80.0 / F.greatest(F.least("w", "h"), F.lit(1.0)), F.lit(4.0)))
     kept = li.withColumn("n", n).where(F.col("n") <= fixed.MOST_CELLS)
-    return kept.select("table_id", F.col("n").cast("long").alias("n"), F.when((F.col("w") < fixed.LEAST_CELL) | (F.col("h") < fixed.LEAST_CELL), 0.0).otherwise(zoom).alias("zoom"))
+    return kept.select("table_id", F.col("n").cast("long").alias("n"), F.when(cells.too_small(F.col("w"), F.col("h")), 0.0).otherwise(cells.zoom(F.col("w"), F.col("h"))).alias("zoom"))
+
+
+def grid_cells(spark, sf_dir):
+    """Cells of tables whose size is a part's: lines where its keys give some, else an even grid."""
+    k = F.col("p_partkey")
+    lines = lambda n, step: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i * step).cast("int"))).otherwise(F.array().cast("array<int>"))
+    p = _table(spark, sf_dir, "part").select(k.alias("id"), (F.col("p_size") * 20 + 100).cast("int").alias("width"), (k % 700 + 150).cast("int").alias("height"), (k % 3).cast("int").alias("_h"), (k % 2).cast("int").alias("_v"))
+    p = p.select("id", "width", "height", lines(F.col("_h"), 40).alias("h_positions"), lines(F.col("_v") * 2, 30).alias("v_positions"), F.lit(3).alias("n_rows"), F.lit(4).alias("n_cols"))
+    c = cells.grid_cells(cells.grid(p).select("id", "method", "row_boundaries", "col_boundaries"), "id", "method")
+    return c.select("id", "method", "row", "col", "x", "y", "w", "h", F.coalesce("zoom", F.lit(0.0)).alias("zoom"))
 
 
 def slot_corrections(spark, sf_dir):
@@ -399,7 +408,7 @@ _NAMES = (
     "text_profile normalize_text line_dedup line_quality text_quality_score urls table_dates table_phones_times table_text_score rotation_score best_rotation doc_type_words gate_patterns "
     "table_patterns suspicious_urls suspicious_phones pattern_score gate_decision route_counts gate_fixture gate_vs_labels sections first_section model_input model_input_text best_variant priority_topk "
     "token_prf char_prf line_accuracy cer_ascii evaluate metric_fixture reference_metrics pattern_merge word_lines event_lines box_iou box_padding box_containment box_merge table_boxes geometry_score run_islands "
-    "tolerance_dedup boundaries line_parameters grids cell_limit slot_corrections slot_corrections_documents highlight_links highlight_exact_substring table_results table_summary table_score structure_hints "
+    "tolerance_dedup boundaries line_parameters grids cell_limit grid_cells slot_corrections slot_corrections_documents highlight_links highlight_exact_substring table_results table_summary table_score structure_hints "
     "ocr_text collected_text gate_with_tables duplicate_lines meal_months score_islands longest_lines"
 ).split()
 

@@ -155,6 +155,11 @@ def spaced_fold(seed: str, items: str) -> str:
 
 GRID_ROWS = " UNION ALL ".join(f"SELECT {i} AS band, {j} AS ordinal, {r} AS n_rows, {c} AS n_cols" for i, (_, g) in enumerate(fixed.GRIDS) for j, (r, c) in enumerate(g))
 
+def edge(at: str, n: str, lines: str, side: str, step: int) -> str:
+    """A boundary: 0, the lines' places and the side's end, or an even share of the side."""
+    return f"(CASE WHEN {lines} > 0 THEN CASE WHEN {at} = {n} THEN {side} ELSE ({at}) * {step} END ELSE round_even({side} * ({at})::DOUBLE / {n}, 0) END)::INT"
+
+
 ORACLE_SQL = {
     "text_profile": f"WITH {T} SELECT doc_id, {profile('t')} FROM t",
     "normalize_text": f"WITH {NT} SELECT doc_id, md5(t) AS clean_md5, length(t) AS n_chars FROM norm",
@@ -228,6 +233,12 @@ CASE WHEN w / h >= 3 THEN 3 ELSE 2 END AS cols, CASE WHEN w / h < 0.5 THEN 4 WHE
 CASE WHEN ordinal >= 3 AND n_rows >= 3 THEN 'line_split' WHEN ordinal >= 3 THEN 'line_split_rows_only' WHEN n_rows >= 3 THEN 'line_split_cols_only' ELSE 'uniform_grid' END AS method FROM b JOIN g USING (band)""",
     "cell_limit": """WITH c AS (SELECT l_suppkey AS table_id, l_quantity AS w, l_tax * 1000 AS h, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_tax * 1000) AS n FROM lineitem)
 SELECT table_id, n, CASE WHEN w < 20 OR h < 20 THEN 0.0 ELSE greatest(2.0, least(80.0 / greatest(least(w, h), 1.0), 4.0)) END AS zoom FROM c WHERE n <= 30""",
+    "grid_cells": f"""WITH p AS (SELECT p_partkey AS id, p_size * 20 + 100 AS w, p_partkey % 700 + 150 AS h, p_partkey % 3 AS nh, p_partkey % 2 * 2 AS nv FROM part),
+m AS (SELECT *, CASE WHEN nh > 0 AND nv > 0 THEN 'line_split' WHEN nh > 0 THEN 'line_split_rows_only' WHEN nv > 0 THEN 'line_split_cols_only' ELSE 'uniform_grid' END AS method FROM p),
+g AS (SELECT *, CASE WHEN nh > 0 THEN nh + 1 WHEN nv = 0 THEN 3 WHEN w / h < 0.5 THEN 4 WHEN w / h < 1 THEN 3 ELSE 2 END AS nr, CASE WHEN nv > 0 THEN nv + 1 WHEN nh = 0 THEN 4 WHEN w / h >= 3 THEN 3 ELSE 2 END AS nc FROM m),
+r AS (SELECT *, unnest(range(nr)) AS r FROM g), c AS (SELECT *, unnest(range(nc)) AS c FROM r),
+b AS (SELECT id, method, r, c, {edge('c', 'nc', 'nv', 'w', 30)} AS x, {edge('r', 'nr', 'nh', 'h', 40)} AS y, {edge('c + 1', 'nc', 'nv', 'w', 30)} AS x2, {edge('r + 1', 'nr', 'nh', 'h', 40)} AS y2 FROM c)
+SELECT id, method, r::INT AS "row", c::INT AS col, x, y, x2 - x AS w, y2 - y AS h, CASE WHEN x2 - x < 20 OR y2 - y < 20 THEN 0.0 ELSE greatest(2.0, least(80.0 / least(x2 - x, y2 - y), 4.0)) END::DOUBLE AS zoom FROM b""",
     "highlight_exact_substring": rf"""WITH d AS (SELECT doc_id, unnest({full_lines("coalesce(text, '')")}) AS l, generate_subscripts({full_lines("coalesce(text, '')")}, 1) - 1 AS line FROM documents),
 k AS (SELECT doc_id, line, lower(regexp_replace(l, '[^0-9A-Za-z가-힣]+', '', 'g')) AS c FROM d), b AS (SELECT item_id, lower(regexp_replace(text, '[^0-9A-Za-z가-힣]+', '', 'g')) AS q FROM benchmark)
 SELECT item_id, doc_id, line, length(q) / length(c) AS score FROM b JOIN k ON length(q) >= 24 AND contains(c, q)""",

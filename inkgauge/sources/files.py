@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -62,34 +59,51 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.lower("path").rlike(r"\.(jpe?g|png)$")).select("path", "content")
 
 
-def recognised(found: DataFrame, engine: Callable[[bytes], str]) -> DataFrame:
-    """(path, text, status, error): an OCR engine over images; its errors are rows, not job failures."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows.append((path, engine(content), "ok", None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((path, "", "runtime_error", str(e)))
-            yield pd.DataFrame(rows, columns=["path", "text", "status", "error"])
-
-    return found.select("path", "content").mapInPandas(run, "path string, text string, status string, error string")
-
-
 def safe_stem(path: Column) -> Column:
     """A file's name without its extension, other characters than letters, digits, dot, line and dash as one underscore."""
     stem = F.trim(F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", ""))
     return F.regexp_replace(F.when(stem == "", "image").otherwise(stem), "[^A-Za-z0-9._-]+", "_")
 
 
+def relative(path: Column, base: str) -> Column:
+    """A path below base without base; other paths as they are."""
+    folder = base.rstrip("/") + "/"
+    return F.when(path.startswith(folder), F.substring(path, len(folder) + 1, 1 << 30)).otherwise(path)
+
+
 def write_gate(decided: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Verified and review texts by route, and the reports as JSON."""
-    rest = [c for c in decided.columns if c != "clean"]
-    decided.withColumn("text", F.concat("clean", F.lit("\n"))).select(*[c for c in rest if c not in ("route", "patterns")], "text", "route").write.mode(mode).partitionBy("route").parquet(f"{path}/texts")
-    decided.select(*rest).write.mode(mode).json(f"{path}/reports")
+    """texts by route (verified and review), key_patterns and quality_report of decided documents.
+
+    A document's text is under one route; the other route has none of it. Reports and patterns are JSON lines.
+    """
+    rest = [c for c in decided.columns if c not in ("clean", "patterns")]
+    key = decided.columns[0]
+    decided.select(key, F.concat("clean", F.lit("\n")).alias("text"), "route").write.mode(mode).partitionBy("route").parquet(f"{path}/texts")
+    decided.select(key, "patterns").write.mode(mode).option("ignoreNullFields", False).json(f"{path}/key_patterns")
+    decided.select(*rest).write.mode(mode).option("ignoreNullFields", False).json(f"{path}/quality_report")
 
 
 def write_model_input(built: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    built.write.mode(mode).json(path)
+    """model_input_text, review_text (the same texts), key_patterns and normalization_report of plans.gate.model_input."""
+    key = built.columns[0]
+    for name in ("model_input_text", "review_text"):
+        built.select(key, F.col("model_input_text").alias("text")).write.mode(mode).parquet(f"{path}/{name}")
+    built.select(key, "patterns").write.mode(mode).option("ignoreNullFields", False).json(f"{path}/key_patterns")
+    built.drop("model_input_text", "patterns", "sections").write.mode(mode).option("ignoreNullFields", False).json(f"{path}/normalization_report")
+
+
+def write_texts(texts_: DataFrame, path: str, *keys: str, mode: str = "errorifexists") -> None:
+    """Texts under a folder for each value of keys; for few values, such as a variant's name."""
+    texts_.write.mode(mode).partitionBy(*keys).parquet(path)
+
+
+def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    metrics.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_layouts(layouts: DataFrame, path: str, *lists: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Layouts as JSON lines; the number of layouts and of the entries in each list column."""
+    layouts.write.mode(mode).option("ignoreNullFields", False).json(path)
+    read = layouts.sparkSession.read.schema(layouts.schema).json(path)
+    n = read.agg(F.count("*").alias("layouts"), *[F.coalesce(F.sum(F.coalesce(F.size(c), F.lit(0))), F.lit(0)).alias(c) for c in lists])
+    return n.first().asDict()
