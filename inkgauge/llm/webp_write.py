@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 from inkgauge.llm.webp import (
-    CACHE_MULTIPLIER, DISTANCE_CODES, DISTANCES, LENGTH_CODES, LENGTH_ORDER, LITERALS, Writer, blocks, bundle_bits, channels, container, cross_colour, words,
+    CACHE_MULTIPLIER, DISTANCE_CODES, DISTANCES, LENGTH_CODES, LENGTH_ORDER, LITERALS, Writer, blocks, bundle_bits, channels, container,
 )
 
 #: Bits of the colour cache, bits of a code at most, bits of a tile's side, least pixels of a match.
@@ -166,6 +166,11 @@ def book(kind: str) -> Book:
 KINDS = ("text", "wide", "even", "rest")
 
 
+@lru_cache(maxsize=1)
+def all_costs() -> np.ndarray:
+    return np.stack([book(k).cost for k in KINDS])
+
+
 def before(values: np.ndarray) -> np.ndarray:
     """The last earlier place of each value, -1 where there is none."""
     order = np.argsort(values, kind="stable")
@@ -205,7 +210,8 @@ def distance_codes(width: int) -> dict[int, int]:
 
 def body_bits(argb: np.ndarray, width: int, b: Book) -> np.ndarray:
     """The bits of all pixels, one a byte."""
-    colours = [(argb >> np.uint32(s) & np.uint32(0xFF)).astype(np.int64) for s in (8, 16, 0, 24)]
+    samples = argb.view(np.uint8).reshape(-1, 4)
+    colours = [samples[:, k] for k in (1, 2, 0, 3)]
     value, bits = (x[colours[0]].copy() for x in b.codes[0])
     for c, (v, n) in zip(colours[1:], b.codes[1:4], strict=True):
         value |= v[c] << bits
@@ -252,40 +258,51 @@ def even_codes() -> tuple[Writer, np.ndarray]:
 
 
 def residual(c: np.ndarray, mode: int) -> np.ndarray:
-    """Samples (height, width, 4) less their prediction: 1 left, 2 top, 7 the mean of both."""
+    """Samples (height, width, 4), alpha last, less their prediction: 1 left, 2 top, 7 the mean of both."""
     guess = np.empty_like(c)
-    guess[0, 0] = (255, 0, 0, 0)  # alpha, red, green, blue
+    guess[0, 0] = (0, 0, 0, 255)
     guess[0, 1:], guess[1:, 0] = c[0, :-1], c[:-1, 0]
     left, top = c[1:, :-1], c[:-1, 1:]
-    guess[1:, 1:] = left if mode == 1 else top if mode == 2 else ((left.astype(np.uint16) + top) >> 1).astype(np.uint8)
+    guess[1:, 1:] = left if mode == 1 else top if mode == 2 else (left & top) + ((left ^ top) >> 1)
     return c - guess
 
 
-def slope(x: np.ndarray, y: np.ndarray) -> int:
-    """The multiplier of a colour transform that takes most of x out of y, both signed."""
-    x, y = x.astype(np.uint8).view(np.int8).astype(np.float64), y.astype(np.uint8).view(np.int8).astype(np.float64)
-    return int(np.clip(np.rint(32 * (x @ y) / max(x @ x, 1.0)), -128, 127)) & 0xFF
+def slope(x: np.ndarray, xx: float, y: np.ndarray) -> int:
+    """The multiplier of a colour transform that takes most of x out of y, both signed; xx is x by itself."""
+    return max(-128, min(127, round(32 * float(x @ y) / max(xx, 1.0))))
+
+
+def less_colour(c: np.ndarray) -> tuple[int, np.ndarray]:
+    """(multipliers as an element of the colour transform, samples blue, green, red, alpha without what they foretell)."""
+    blue, green, red = c.view(np.int8)[:, :3].T.astype(np.float32)
+    gg, rr = float(green @ green), float(red @ red)
+    to_red, to_blue, red_to_blue = slope(green, gg, red), slope(green, gg, blue), slope(red, rr, blue)
+    out = c.copy()
+    if to_red or to_blue or red_to_blue:
+        g, r = c.view(np.int8)[:, 1].astype(np.int16), c.view(np.int8)[:, 2].astype(np.int16)
+        out[:, 2] -= (to_red * g >> 5).astype(np.uint8)
+        out[:, 0] -= ((to_blue * g >> 5) + (red_to_blue * r >> 5)).astype(np.uint8)
+    return (red_to_blue & 0xFF) << 16 | (to_blue & 0xFF) << 8 | to_red & 0xFF, out
 
 
-def plans(argb: np.ndarray, width: int, height: int) -> Iterator[tuple[str, object, np.ndarray]]:
-    """(transform, parameter, words that are left): as they are, predictions, colours, predictions then colours."""
-    yield "", None, argb
-    c = channels(argb).astype(np.uint8).reshape(height, width, 4)
-    left = [(mode, words(residual(c, mode).reshape(-1, 4))) for mode in (1, 2, 7)]
-    for mode, rest in left:
-        yield "p", mode, rest
-    for mode, rest in ((None, argb), left[0]):
-        a, r, g, b = channels(rest).T
-        e = slope(r, b) << 16 | slope(g, b) << 8 | slope(g, r)
-        tiles = np.full(blocks(height, TILE_BITS) * blocks(width, TILE_BITS), e, np.uint32)
-        yield "c" if mode is None else "pc", (mode, e), cross_colour(rest, width, height, tiles, TILE_BITS, -1)
+def plans(argb: np.ndarray, width: int, height: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(prediction, colour element or 0, samples that are left): as they are, predictions, colours, predictions then colours."""
+    c = argb.view(np.uint8).reshape(height, width, 4)
+    tries = [(None, c.reshape(-1, 4)), *((m, residual(c, m).reshape(-1, 4)) for m in (1, 2, 7))]
+    for mode, rest in tries:
+        yield mode, 0, rest
+    for mode, rest in tries[:2]:
+        e, less = less_colour(rest)
+        if e:
+            yield mode, e, less
 
 
 def as_palette(argb: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, int] | None:
     """(colours, words of packed indices, their width), or None for more than 256 colours."""
-    colours, index = np.unique(argb, return_inverse=True)
+    colours = np.unique(argb)
     if len(colours) > 256:
         return None
+    index = np.searchsorted(colours, argb)
     pack = bundle_bits(len(colours))
     now, each = blocks(width, pack), 8 >> pack
     full = np.zeros((height, now << pack), np.uint32)
@@ -297,11 +314,11 @@ def as_palette(argb: np.ndarray, width: int, height: int) -> tuple[np.ndarray, n
 def encode(rgba: np.ndarray) -> bytes:
     """A WebP file of pixels (height, width, 4) RGBA: the same pixels always give the same bytes."""
     height, width = rgba.shape[:2]
-    argb = words(rgba.reshape(-1, 4)[:, [3, 0, 1, 2]])
-    costs = np.stack([book(k).cost for k in KINDS])
+    argb = np.ascontiguousarray(rgba.reshape(-1, 4)[:, [2, 1, 0, 3]]).view("<u4")[:, 0]
+    costs = all_costs()
     best, packed = None, as_palette(argb, width, height)
     for plan in plans(argb, width, height):
-        bits = costs @ np.bincount(plan[2].view(np.uint8), minlength=256)
+        bits = costs @ np.bincount(plan[2].reshape(-1), minlength=256)
         k = int(np.argmin(bits))
         if best is None or bits[k] < best[0]:
             best = (bits[k], KINDS[k], plan)
@@ -319,10 +336,10 @@ def encode(rgba: np.ndarray) -> bytes:
         w.put(int.from_bytes(steps, "little"), 8 * len(steps))
         kind, width = "index", now
     else:
-        _, kind, (name, parameter, argb) = best
-        mode, e = parameter if name in ("c", "pc") else (parameter, 0)
-        for flag, number_, image in (("p", 0, 0xFF000000 | (mode or 0) << 8), ("c", 1, 0xFF000000 | e)):
-            if flag in name:
+        _, kind, (mode, e, rest) = best
+        argb = np.ascontiguousarray(rest).view("<u4")[:, 0]
+        for used, number_, image in ((mode is not None, 0, 0xFF000000 | (mode or 0) << 8), (e, 1, 0xFF000000 | e)):
+            if used:
                 w.put(1, 1)
                 w.put(number_, 2)
                 w.put(TILE_BITS - 2, 3)
