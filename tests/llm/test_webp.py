@@ -1,3 +1,6 @@
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
 
@@ -113,3 +116,19 @@ def test_columns(spark):
 
 def test_fixed_tables():
     assert len(webp.DISTANCES) == len(set(webp.DISTANCES)) == 120 and sorted(webp.LENGTH_ORDER) == list(range(19))
+
+
+def test_query_against_plain_python(spark, tmp_path):
+    texts = [None, "", "a", "é" * 64, "abc " * 20_000, "한국어 본문\n" * 300, "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in media.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        body = raw + b"\0" * (64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        r, a = got[i], np.frombuffer(body, np.uint8)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]))
+        sums = ",".join(str(int(a[k::4].sum(dtype=np.int64))) for k in range(4))
+        assert r["feature"] == f"16x{len(body) // 64};sum={sums};hist=" + ",".join(str(int((a // 16 == k).sum())) for k in range(16))
+        stored = media.images(body)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
