@@ -271,6 +271,8 @@ class Join:
         recurring = bloom.build(again)
         kinds = "cls long, n int, first array<struct<token:long,pos:int>>, second array<short>, third array<short>, sketch array<long>"
         self.records = stage(texts.mapInArrow(_records(self.orders, recurring, *self.rule), kinds).dropDuplicates(["cls"]), "records")
+        for shared in (recurring, self.orders):  # else the driver keeps them to the end
+            shared.destroy()
         postings = self.records.select("n", "cls", F.explode("first").alias("p")).select("p.token", "p.pos", "n", "cls").repartition("token")
         lead = postings.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("lead"), F.count("*").alias("size")).where("size > 1")
         lead = lead.select("token", F.col("lead.pos").alias("lpos"), F.col("lead.n").alias("ln"), F.col("lead.cls").alias("lcls"), "size")
@@ -302,14 +304,17 @@ class Join:
             words = F.zip_with(folded(x, y), folded(y, x), lambda v, w: F.bit_count(v.bitwiseXOR(w)))
             return F.when(far, 0).otherwise(F.aggregate(words, F.lit(0), lambda t, w: t + w))
 
-        near, records = pairs, self.records.where(bloom.may_contain(bloom.build(nodes(pairs)), F.col("cls")))
+        met = bloom.build(nodes(pairs))
+        near, records = pairs, self.records.where(bloom.may_contain(met, F.col("cls")))
         close = differ() * (self.num + self.den) <= (F.col("na") + F.col("nb")) * (self.den - self.num)
         for order, more, exact in (("second", [], F.lit(True)), ("third", ["sketch"], close)):
             common = F.get(F.array_intersect(order + "a", order + "b"), F.lit(0))  # equal bits of different hashes only let more through, as both prefixes are in order
             fits = _possible(F.col("na"), place(order, "a", common), F.col("nb"), place(order, "b", common), self.num, self.den)
             near = stage(beside(near, records, "n", order, *more).where(common.isNotNull() & fits & exact).select("a", "b"), "candidates")
+        met.destroy()
         wanted = bloom.build(nodes(near).join(self.classes, "cls").select("row_key"))
         sets = stage(self.docs.select("row_key", "text").mapInArrow(_sets(wanted, self.rule[0]), "cls long, tokens array<long>"), "sets")
+        wanted.destroy()
         both = F.size(F.array_intersect("tokensa", "tokensb"))
         either = F.size("tokensa") + F.size("tokensb") - both
         return stage(beside(near, sets, "tokens").where(both * self.den >= either * self.num).select("a", "b").distinct(), "links")

@@ -393,6 +393,14 @@ def test_bloom_never_misses(spark):
     assert {r["id"] for r in got} >= {7 * i for i in range(1000)} and len(got) < 3000
 
 
+def test_bloom_blocks_are_made_once(spark):
+    keys = spark.range(0, 60_000, 1, 40).select((F.col("id") * 7919 - 10**8).alias("k")).unionAll(spark.range(40).select(F.lit(None).cast("long")))
+    got = [r["block"] for r in bloom.blocks(keys, 20).collect()]
+    assert len(got) == len(set(got)) == 1 << (20 - bloom.BLOCK)
+    rows = keys.where("k is not null").limit(500).select("k", F.xxhash64("k").alias("h")).collect()
+    assert bloom.hashed(np.array([r["k"] for r in rows])).view(np.int64).tolist() == [r["h"] for r in rows]
+
+
 @pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op7_nearest_vectors", "op8_repeated_passages", "op10_line_dedup"])
 def test_queries_agree_with_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
