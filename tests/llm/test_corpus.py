@@ -401,6 +401,18 @@ def test_bloom_blocks_are_made_once(spark):
     assert bloom.hashed(np.array([r["k"] for r in rows])).view(np.int64).tolist() == [r["h"] for r in rows]
 
 
+def test_few_edges_take_no_rounds(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(900) - 450, rng.randrange(900) - 450) for _ in range(500)] + [(1000 + i, 1001 + i) for i in range(60)] + [(-7, -7), (2000, 1999)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    df.sparkSession.sparkContext.setJobGroup("few", "few")
+    one = sorted(map(tuple, components.components(df).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    df.sparkSession.sparkContext.setJobGroup("many", "many")
+    assert one == sorted(map(tuple, components.components(df, few=0).collect()))
+    assert jobs < len(spark.sparkContext.statusTracker().getJobIdsForGroup("many")) / 4
+
+
 @pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op7_nearest_vectors", "op8_repeated_passages", "op10_line_dedup"])
 def test_queries_agree_with_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
