@@ -5,15 +5,15 @@ sentence ends, its wrapped sentences joined, and as a whole or, beyond WINDOW wo
 overlap by more words than any template has. Units with an anchor word are classified; others lack
 too much of every template to be confirmed, so they are unknown. Features are word 1- to 3-grams, present or absent, of unit length. A
 multinomial logistic regression over the licence families and an unknown class is fitted by
-accelerated gradient steps, each a DataFrame aggregation over the training paragraphs: variants
-of the templates (every other word drop of a few seeds) against a bounded sample of the corpus's own paragraphs and
-prose that only talks about licences. The threshold on a family's probability is calibrated: it
-lies above what NULL_QUANTILE of held-out unknown paragraphs reach. A prediction stands only if the
-paragraph also contains CONFIRM of the words and bigrams of one of the family's templates.
-
-Everything is DataFrame and SQL functions. The training set is bounded (templates and
-MAX_UNKNOWN paragraphs), so one task trains without a shuffle; the weights, bounded by it, are
-broadcast. Units with an anchor word are exploded to grams and summed by paragraph.
+accelerated gradient steps, each a DataFrame aggregation over the training units: variants
+of the templates (every other word drop of a few seeds) against all units of the corpus that are scored, but for
+those of paragraphs that a template confirms, and prose that only talks about licences. A fifth of the unknown
+units is held out, and the threshold on a family's probability lies above what NULL_QUANTILE of all of
+these reach. A prediction stands only if the paragraph also contains CONFIRM of the words and bigrams of one
+of the family's templates.
+
+Everything is DataFrame and SQL functions. Grams that no template or prose has have no weight, so
+weights don't grow with the corpus and are broadcast. Units with an anchor word are exploded to grams and summed by paragraph.
 """
 
 from __future__ import annotations
@@ -100,9 +100,6 @@ PROSE = (
     "The work is under way and will be finished in May.",
 )
 CLASSES = ("unknown", *TEMPLATES)
-MAX_UNKNOWN = 500
-#: Texts whose paragraphs are looked through for them.
-SAMPLE_TEXTS = 500
 STEPS = 20
 RATE = 20.0
 MOMENTUM = 0.9
@@ -209,30 +206,34 @@ def paragraphs(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     return cut.select(*names, "para", F.explode(F.concat(lines, joined, wide)).alias("u")).select(*names, "para", "u.*").where(F.trim("unit") != "")
 
 
-def examples(spark: SparkSession, docs: DataFrame, text_col: str) -> DataFrame:
-    """(ex, label, fold, x array<bigint>), one partition: templates in variants, prose, and at most MAX_UNKNOWN corpus units.
-
-    Corpus units are whole and come from the paragraphs, at all widths, of the SAMPLE_TEXTS different texts of
-    least hash, without paragraphs of which a template confirms a part: first those with an anchor, as these are
-    what is scored, then others. Variants of one sentence are in one fold.
-    """
+def known_examples(spark: SparkSession) -> DataFrame:
+    """(label, source, unit), one partition: templates in variants, and prose as unknown."""
     rows = [(label, t) for label, name in enumerate(CLASSES) if name in TEMPLATES for t in TEMPLATES[name]] + [(0, p) for p in PROSE]
     known = spark.createDataFrame(rows, "label int, source string").coalesce(1)
     words = F.split("source", " ")
     dropped = F.when(F.col("v") == 0, F.col("source")).otherwise(
         F.array_join(F.filter(words, lambda w: F.pmod(F.xxhash64(w, F.col("v")), F.lit(8)) > 0), " ")
     )
-    known = known.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).select("label", F.xxhash64("source").alias("source"), dropped.alias("unit"))
-    hashed = docs.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    least = stage(hashed.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).coalesce(1), "least")
-    texts = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text"))
-    drawn = stage(paragraphs(texts, "text", F.col("h")).withColumn("may", may_hold(F.col("unit"))), "drawn")
-    notices = drawn.where("may").where(confirmed(F.col("unit")) >= CONFIRM).select("h", "para").distinct()
-    other = drawn.join(notices, ["h", "para"], "left_anti").select("unit", "may").distinct().orderBy(F.desc("may"), F.xxhash64("unit"), "unit").limit(MAX_UNKNOWN)
-    both = known.unionAll(other.select(F.lit(0).alias("label"), F.xxhash64("unit").alias("source"), "unit").coalesce(1)).coalesce(1)
+    return known.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).select("label", F.xxhash64("source").alias("source"), dropped.alias("unit"))
+
+
+def examples(units: DataFrame) -> DataFrame:
+    """(ex, label, fold, x array<bigint>): templates in variants, prose, and every different one of the units (text_key, para, unit).
+
+    Units of paragraphs of which a template confirms a part are left out. Variants of one sentence are in one fold.
+    """
+    notices = units.where(confirmed(F.col("unit")) >= CONFIRM).select("text_key", "para").distinct()
+    other = units.join(notices, ["text_key", "para"], "left_anti").select("unit").distinct()
+    both = known_examples(units.sparkSession).unionAll(other.select(F.lit(0).alias("label"), F.xxhash64("unit").alias("source"), "unit"))
     fold = F.when(F.col("label") == 0, F.pmod(F.xxhash64("source", F.lit(5)), F.lit(5))).otherwise(1)
     made = both.select("label", "source", "unit", grams(F.col("unit")).alias("x")).where(F.size("x") > 0)
-    return stage(made.select(F.xxhash64("label", "unit").alias("ex"), "label", fold.alias("fold"), "x").dropDuplicates(["ex"]).coalesce(1), "examples")
+    return stage(made.select(F.xxhash64("label", "unit").alias("ex"), "label", fold.alias("fold"), "x").dropDuplicates(["ex"]), "examples")
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """(gram), staged: all that have a weight of their own."""
+    found = known_examples(spark).select(F.explode(F.concat(grams(F.col("unit")), F.array(F.lit(BIAS).cast("bigint")))).alias("gram"))
+    return stage(found.distinct().coalesce(1), "vocabulary")
 
 
 def softmax(sums: DataFrame, *by: str) -> DataFrame:
@@ -241,11 +242,12 @@ def softmax(sums: DataFrame, *by: str) -> DataFrame:
     return powers.select(*by, F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def cells_of(x: DataFrame, *by: str) -> DataFrame:
-    """(by..., gram, value): a unit-length row for each paragraph, and the bias as a gram of its own."""
+def cells_of(x: DataFrame, vocab: DataFrame, *by: str) -> DataFrame:
+    """(by..., gram, value): a unit-length row for each paragraph, and the bias as a gram of its own; of the grams those of vocab."""
     value = 1 / F.sqrt(F.size("x").cast("double"))
     grams_ = F.concat(F.transform("x", lambda g: F.struct(g.alias("gram"), value.alias("value"))), F.array(F.struct(F.lit(BIAS).cast("bigint").alias("gram"), F.lit(0.3).alias("value"))))
-    return x.where(F.size("x") > 0).select(*by, F.explode(grams_).alias("c")).select(*by, "c.gram", "c.value")
+    cells = x.where(F.size("x") > 0).select(*by, F.explode(grams_).alias("c")).select(*by, "c.gram", "c.value")
+    return cells.join(F.broadcast(vocab), "gram").select(*by, "gram", "value")
 
 
 def score(cells: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
@@ -255,35 +257,34 @@ def score(cells: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
     return softmax(cells.join(weights, "gram", "left").groupBy(*by).agg(F.array(*sums).alias("s")), *by)
 
 
-def train(found: DataFrame, steps: int = STEPS) -> DataFrame:
+def train(found: DataFrame, vocab: DataFrame, steps: int = STEPS) -> DataFrame:
     """(gram, w array<double>) by Nesterov steps on folds 1 to 4.
 
-    All tables here have one partition and bounded rows, so no step has an exchange; each is
-    staged so that plans don't grow.
+    A step has one shuffle by example and one by gram; each is staged so that plans don't grow.
     """
     k = len(CLASSES)
     ours = found.where("fold > 0")
     size = ours.groupBy("label").count().collect()
     cost = {r["label"]: 1 / (len(size) * r["count"]) for r in size}  # classes weigh alike
     price = F.element_at(F.array(*[F.lit(cost.get(c, 0.0)) for c in range(k)]), F.col("label") + 1)
-    cells = stage(cells_of(ours.coalesce(1), "ex", "label"), "cells").coalesce(1)
+    cells = stage(cells_of(ours, vocab, "ex", "label"), "cells")
     zero = F.array(*[F.lit(0.0)] * k)
-    state = stage(cells.groupBy("gram").agg(F.count("*").alias("_")).select("gram", zero.alias("w"), zero.alias("v")), "weights")
+    state = stage(vocab.select("gram", zero.alias("w"), zero.alias("v")).coalesce(1), "weights")
     for _ in range(steps):
-        now = state.coalesce(1)
-        ahead = now.select("gram", F.transform(F.arrays_zip("w", "v"), lambda z: z["w"] + MOMENTUM * z["v"]).alias("w"))
-        errors = score(cells, ahead.hint("shuffle_hash"), "ex", "label").select("ex", F.transform("p", lambda x, i: (x - (F.col("label") == i).cast("double")) * price).alias("e"))
-        grads = cells.join(errors.hint("shuffle_hash"), "ex").groupBy("gram").agg(F.array(*[F.sum(F.col("value") * F.get("e", F.lit(c))) for c in range(k)]).alias("g"))
-        v = F.transform(F.arrays_zip("w", "v", "g"), lambda z: MOMENTUM * z["v"] - RATE * (z["g"] + L2 * (z["w"] + MOMENTUM * z["v"])))
-        moved = now.join(grads.hint("shuffle_hash"), "gram").select("gram", "w", v.alias("v"))
-        state = stage(moved.select("gram", F.transform(F.arrays_zip("w", "v"), lambda z: z["w"] + z["v"]).alias("w"), "v"), "weights")
+        ahead = state.select("gram", F.transform(F.arrays_zip("w", "v"), lambda z: z["w"] + MOMENTUM * z["v"]).alias("w"))
+        errors = score(cells, F.broadcast(ahead), "ex", "label").select("ex", F.transform("p", lambda x, i: (x - (F.col("label") == i).cast("double")) * price).alias("e"))
+        grads = cells.join(errors, "ex").groupBy("gram").agg(F.array(*[F.sum(F.col("value") * F.get("e", F.lit(c))) for c in range(k)]).alias("g"))
+        g = F.coalesce("g", zero)
+        v = F.transform(F.arrays_zip("w", "v", g.alias("g")), lambda z: MOMENTUM * z["v"] - RATE * (z["g"] + L2 * (z["w"] + MOMENTUM * z["v"])))
+        moved = state.join(grads, "gram", "left").select("gram", "w", v.alias("v"))
+        state = stage(moved.select("gram", F.transform(F.arrays_zip("w", "v"), lambda z: z["w"] + z["v"]).alias("w"), "v").coalesce(1), "weights")
     return state.select("gram", "w")
 
 
-def calibrate(found: DataFrame, weights: DataFrame) -> float:
-    """The least probability at which a family stands: above NULL_QUANTILE of the held-out unknown paragraphs."""
-    cells = cells_of(found.where("fold = 0 and label = 0").coalesce(1), "ex")
-    best = score(cells, weights.coalesce(1), "ex").select(F.array_max(F.slice("p", 2, len(CLASSES))).alias("m"))
+def calibrate(found: DataFrame, vocab: DataFrame, weights: DataFrame) -> float:
+    """The least probability at which a family stands: above NULL_QUANTILE of all held-out unknown units."""
+    cells = cells_of(found.where("fold = 0 and label = 0"), vocab, "ex")
+    best = score(cells, F.broadcast(weights), "ex").select(F.array_max(F.slice("p", 2, len(CLASSES))).alias("m"))
     reached = best.agg(F.percentile("m", F.lit(NULL_QUANTILE)).alias("q")).first()["q"]
     return max(LEAST_PROBABILITY, reached or 0.0)
 
@@ -316,14 +317,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     licence and 0 notices. Repeated rows and ids are rows of their own with equal results. An empty
     table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    found = examples(spark, docs, text_col)
-    weights = train(found)
-    threshold = calibrate(found, weights)
     key = F.xxhash64(text_col)
     some = docs.where(may_hold(text_of(text_col)))
     units = stage(paragraphs(some, text_col, key.alias("text_key")).where(may_hold(F.col("unit"))).distinct().withColumn("unit_key", F.xxhash64("text_key", "para", "sent", "level", "unit")), "units")
-    cells = cells_of(units.select("unit_key", grams(F.col("unit")).alias("x")), "unit_key")
+    found, vocab = examples(units), vocabulary(docs.sparkSession)
+    weights = train(found, vocab)
+    threshold = calibrate(found, vocab, weights)
+    cells = cells_of(units.select("unit_key", grams(F.col("unit")).alias("x")), vocab, "unit_key")
     p = score(cells, F.broadcast(weights), "unit_key").withColumn("top", F.array_max("p"))
     named = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("p", F.col("top")).cast("int"))
     guessed = units.join(p, "unit_key").withColumn("family", named).where((F.col("family") != "unknown") & (F.col("top") >= threshold))

@@ -289,6 +289,18 @@ def test_licences(spark):
     assert {i: found[i] for i in range(7)} == {0: "apache-2.0", 1: "proprietary", 2: None, 3: None, 4: None, 5: "gpl", 6: None}
 
 
+def test_licences_learn_from_every_unit(spark):
+    prose = [f"{WORDS[i % 20]}{i} license {WORDS[i % 7]} talk" for i in range(1300)]
+    notice = "All rights reserved."
+    docs = spark.createDataFrame([*enumerate([*prose, notice])], "doc_id long, text string")
+    units = licences.paragraphs(docs, "text", F.xxhash64("text").alias("text_key"))
+    found = licences.examples(units)
+    kept = {r["ex"] for r in found.collect()}
+    asked = spark.createDataFrame([(p,) for p in [*prose, notice]], "unit string").select("unit", F.xxhash64(F.lit(0), "unit").alias("ex")).collect()
+    assert [r["unit"] for r in asked if r["ex"] not in kept] == [notice]
+    assert found.where("label = 0 and fold = 0").count() > 200
+
+
 def test_licences_over_wrapped_lines(spark):
     mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
