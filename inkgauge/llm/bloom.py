@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import stage
+from inkgauge.llm.common import lean, stage
 
 #: log2 of the bits, by the number of keys: 32 MB at most, to the driver and to each executor.
 LEAST_BITS, MOST_BITS = 16, 28
@@ -67,7 +67,7 @@ def blocks(keys: DataFrame, log_bits: int) -> DataFrame:
     (key,) = keys.columns
     dealt = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key))
     dealt = dealt.repartition(F.shiftrightunsigned(F.xxhash64(key), 64 - (log_bits - BLOCK)))
-    return dealt.mapInArrow(run, "block long, bits binary")
+    return dealt.mapInArrow(lean(run), "block long, bits binary")
 
 
 def build(keys: DataFrame, log_bits: int | None = None):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,47 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from one task to the next, by name; Spark uses a worker again for later stages.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """The worker's one large state: what make() gives, kept until a task asks for another or forgets it."""
+    if name not in _kept:
+        forget()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Freed pages that Arrow's and C's allocators hold go back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, without what the worker kept (unless keep); freed pages go back at its end."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not keep:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

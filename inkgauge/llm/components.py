@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import stage
+from inkgauge.llm.common import lean, stage
 
 
 #: Edges (16 bytes each) that one task puts together.
@@ -66,7 +66,7 @@ def components(links: DataFrame, most: int = 60, few: int = FEW) -> DataFrame:
     """(node, root) for every node of links (a, b), root being the least node of its component; nodes are longs."""
     edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
     if edges.count() <= few:
-        return stage(edges.coalesce(1).mapInArrow(_alone, "node long, root long"), "roots")
+        return stage(edges.coalesce(1).mapInArrow(lean(_alone), "node long, root long"), "roots")
     seen = None
     for _ in range(most):
         print_ = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm import bloom
-from inkgauge.llm.common import fresh, stage, table
+from inkgauge.llm.common import fresh, lean, stage, table
 from inkgauge.llm.components import components
 from inkgauge.llm.shingles import mixed, shingle_sets
 
@@ -252,7 +252,7 @@ class Join:
         self.num, self.den = num, den
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
         kind = self.docs.schema["id"].dataType.simpleString()
-        found = stage(self.docs.mapInArrow(_profiles(k), f"id {kind}, row_key long, cls long, n long, token long"), "profiles")
+        found = stage(self.docs.mapInArrow(lean(_profiles(k)), f"id {kind}, row_key long, cls long, n long, token long"), "profiles")
         self.rows = found.where("token is null").select("id", "row_key", "cls", "n")
         heavy = heavy_tokens(found.where("token is not null").select("token", "n"))
         self.orders = docs.sparkSession.sparkContext.broadcast(Orders(*heavy))
@@ -267,10 +267,10 @@ class Join:
     def prepare(self) -> None:
         """self.records, one a class, and self.lists: (token, pos, n, cls, lpos, ln, lcls, size) of the posting lists that hold two classes at least, with their leaders."""
         texts = self.docs.select("text")
-        again = texts.mapInArrow(_prefixes(self.orders, *self.rule), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+        again = texts.mapInArrow(lean(_prefixes(self.orders, *self.rule)), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
         recurring = bloom.build(again)
         kinds = "cls long, n int, first array<struct<token:long,pos:int>>, second array<short>, third array<short>, sketch array<long>"
-        self.records = stage(texts.mapInArrow(_records(self.orders, recurring, *self.rule), kinds).dropDuplicates(["cls"]), "records")
+        self.records = stage(texts.mapInArrow(lean(_records(self.orders, recurring, *self.rule)), kinds).dropDuplicates(["cls"]), "records")
         for shared in (recurring, self.orders):  # else the driver keeps them to the end
             shared.destroy()
         postings = self.records.select("n", "cls", F.explode("first").alias("p")).select("p.token", "p.pos", "n", "cls").repartition("token")
@@ -313,7 +313,7 @@ class Join:
             near = stage(beside(near, records, "n", order, *more).where(common.isNotNull() & fits & exact).select("a", "b"), "candidates")
         met.destroy()
         wanted = bloom.build(nodes(near).join(self.classes, "cls").select("row_key"))
-        sets = stage(self.docs.select("row_key", "text").mapInArrow(_sets(wanted, self.rule[0]), "cls long, tokens array<long>"), "sets")
+        sets = stage(self.docs.select("row_key", "text").mapInArrow(lean(_sets(wanted, self.rule[0])), "cls long, tokens array<long>"), "sets")
         wanted.destroy()
         both = F.size(F.array_intersect("tokensa", "tokensb"))
         either = F.size("tokensa") + F.size("tokensb") - both

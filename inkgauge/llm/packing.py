@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from inkgauge.llm.common import stage, table
+from inkgauge.llm.common import lean, stage, table
 from inkgauge.llm.tokens import word_bpe
 
 SEQ_LEN = 4096
 END_ID = 2
 #: Texts that go to the tokenizer at once, in characters; a longer text goes alone.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 PART_ROWS = 256
 PARTS = 4096
 
@@ -57,6 +57,7 @@ def tokenised(found: pa.RecordBatch, text_col: str, path: str, end_id: int) -> I
         flat, cut = model.batch(texts.slice(a, b - a))
         for i in range(b - a):
             yield a + i, np.append(flat[cut[i] : cut[i + 1]], np.uint32(end_id))
+        pa.default_memory_pool().release_unused()
 
 
 def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([batch.column("id").take(at), batch.column("doc_part").take(at), *map(long, (start, length, crc, whole))], names=["doc_id", "doc_part", "start", "length", "ids_crc32", "doc_tokens"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc_part"))
-    return chosen.mapInArrow(cut, PIECES.format(id=chosen.schema["id"].dataType.simpleString()))
+    return chosen.mapInArrow(lean(cut, keep=True), PIECES.format(id=chosen.schema["id"].dataType.simpleString()))
 
 
 def place(histogram: dict[int, int], seq_len: int) -> list[tuple[int, int, int, int, int]]:
@@ -157,7 +158,7 @@ def sequences(docs: DataFrame, plan: DataFrame, *, path: str, id_col: str = "doc
             yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(ids_, pa.list_(pa.int32()))], names=["_id", "_start", "ids"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = chosen.mapInArrow(cut, f"_id {chosen.schema['id'].dataType.simpleString()}, _start long, ids array<int>")
+    made = chosen.mapInArrow(lean(cut, keep=True), f"_id {chosen.schema['id'].dataType.simpleString()}, _start long, ids array<int>")
     on = plan["doc_id"].eqNullSafe(made["_id"]) & (plan["start"] == made["_start"])
     joined = plan.join(made, on).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return joined.select("sequence_id", F.flatten("parts.ids").alias("ids"))

@@ -11,13 +11,14 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from inkgauge.llm.common import kept
+
 #: Words and pieces that one age of a worker's caches holds at most; there are two ages of each.
 WORD_CACHE = 250_000
 PIECE_CACHE = 150_000
@@ -84,7 +85,7 @@ class WordBpe:
         if any(t in word for t in self.special):
             return self.whole(word)
         if word.isascii():
-            low = word.lower()
+            low = word if word.islower() else word.lower()  # one string for both caches
             if low.isalpha():
                 return self.piece(low)
         else:
@@ -118,6 +119,5 @@ class WordBpe:
         return flat, end[cut - cut[0]]
 
 
-@lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    return kept(f"word_bpe {path}", lambda: WordBpe(path))

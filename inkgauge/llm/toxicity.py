@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import fresh, stage, table
+from inkgauge.llm.common import fresh, lean, stage, table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, clean: int, toxic: int, features: int = FEATURES) -
     size = {r["toxic"]: r["count"] for r in rows}
     if not size.get(0) or not size.get(1):
         return constant
-    counted = labelled.mapInArrow(_counted, "bucket long, docs long, clean double, toxic double")
+    counted = labelled.mapInArrow(lean(_counted), "bucket long, docs long, clean double, toxic double")
     counted = counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("docs", "clean", "toxic")])
     n0, n1 = size[0], size[1]
     ratio = F.log((F.col("toxic") + 1) / (n1 + 1.0)) - F.log((F.col("clean") + 1) / (n0 + 1.0))
@@ -158,7 +158,7 @@ def fit(labelled: DataFrame, clean: int, toxic: int, features: int = FEATURES) -
                     cols[first + i], vals[first + i] = c.astype(np.int16).tobytes(), v.astype(np.float32).tobytes()
             yield pa.record_batch({"toxic": pa.array(toxic, pa.int32()), "cols": pa.array(cols, pa.binary()), "vals": pa.array(vals, pa.binary())})
 
-    got = labelled.mapInArrow(sparse, "toxic int, cols binary, vals binary").toArrow()
+    got = labelled.mapInArrow(lean(sparse), "toxic int, cols binary, vals binary").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     cols = got.column("cols").to_pylist()
     row = np.repeat(np.arange(len(y)), [len(c) // 2 for c in cols])
@@ -215,8 +215,8 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", score_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(score_texts(texts.to_pylist(), shared.value), pa.float64())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lean(lambda batches: (pa.array(score_texts(texts.to_pylist(), shared.value), pa.float64()) for texts in batches))(batches)
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
 
